@@ -79,12 +79,15 @@ def invoices(spark: SparkSession, sf_dir: str, item_names: bool = False) -> Data
     """Invoice lines from lineitem and orders.
 
     The item table only adds the item's name, and every line has an item; so
-    it is joined only for reports that show names.
+    it is joined only for reports that show names. The conditions are never
+    NULL, so filters on the derived columns turn into filters of the scan.
     """
-    order, part = F.col("l_orderkey"), F.col("l_partkey")
+    order, part = F.col("o_orderkey"), F.col("l_partkey")
+    served = ~(order % 97).eqNullSafe(0)
+    is_open = ~F.col("o_orderstatus").eqNullSafe("P")
     patient = F.col("o_custkey") * 2 + part % 2
     lines = load(spark, sf_dir, "lineitem").join(
-        load(spark, sf_dir, "orders"), order == F.col("o_orderkey")
+        load(spark, sf_dir, "orders"), F.col("l_orderkey") == order
     )
     name = F.lit(None).cast("string")
     if item_names:
@@ -95,9 +98,9 @@ def invoices(spark: SparkSession, sf_dir: str, item_names: bool = False) -> Data
         (F.col("o_orderdate") + F.make_dt_interval(days=(order % 3).cast("int"))).alias(
             "invoice_date"
         ),
-        F.when(order % 97 != 0, F.col("o_orderdate")).alias("performed_date"),
+        F.when(served, F.col("o_orderdate")).alias("performed_date"),
         F.col("o_totalprice").cast("decimal(18,2)").alias("invoice_amount"),
-        F.when(F.col("o_orderstatus") == "P", 1).otherwise(0).alias("cancelled"),
+        F.when(is_open, 0).otherwise(1).alias("cancelled"),
         _text("o_custkey").alias("client_id"),
         _text(patient).alias("patient_id"),
         _pick(SPECIES, patient).alias("patient_species"),
@@ -117,7 +120,7 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(_text("user_id"), F.lit("-"), _text(F.to_date("ts"))).alias("invoice_id"),
         F.col("ts").alias("invoice_date"),
         F.col("ts").alias("performed_date"),
-        F.when(F.col("event_type") == "error", 1).otherwise(0).alias("cancelled"),
+        F.when(~F.col("event_type").eqNullSafe("error"), 0).otherwise(1).alias("cancelled"),
         _text("user_id").alias("client_id"),
         _text(patient).alias("patient_id"),
         _pick(VISIT_SPECIES, patient).alias("patient_species"),
