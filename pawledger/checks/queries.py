@@ -201,6 +201,14 @@ def stock_value(spark, d):
     return inventory.stock_value(A.stocks(spark, d))
 
 
+@_query
+def stock_listing(spark, d):
+    columns = ["plan_item_id", "plan_item_name", "plan_category_name", "clinic_id"]
+    numbers = [F.col(c).cast("double").alias(c) for c in ("onhand_qty", "purchase_cost")]
+    listing = A.stocks(spark, d).select(*columns, *numbers)
+    return present.null_to_zero(present.business_aliases(listing))
+
+
 @_query
 def category_stock_coverage(spark, d):
     return inventory.category_stock_coverage(
@@ -272,6 +280,35 @@ def customer_count(spark, d):
     return trends.customer_count(A.invoices(spark, d))
 
 
+@_query
+def revenue_on_day(spark, d):
+    return trends.active_revenue(A.invoices(spark, d), P.day(date(2001, 7, 16)))
+
+
+@_query
+def revenue_year_to_date(spark, d):
+    return trends.active_revenue(A.invoices(spark, d), P.year_to_date(AS_OF))
+
+
+@_query
+def revenue_in_year(spark, d):
+    return trends.gross_revenue(A.invoices(spark, d), P.year(2000))
+
+
+@_query
+def ad_hoc_sql(spark, d):
+    tables = {"invoices": A.invoices(spark, d), "clients": A.clients(spark, d)}
+    views.register_views(spark, tables, prefix="adhoc_")
+    return views.ask(
+        spark,
+        """SELECT logical_category AS category, SUM(quantity) AS units_sold,
+             COUNT(DISTINCT c.client_id) AS registered_clients
+           FROM adhoc_category_normalized n LEFT JOIN adhoc_clients c ON c.client_id = n.client_id
+           WHERE cancelled = 0 AND performed_date IS NOT NULL
+           GROUP BY logical_category""",
+    ).withColumn("units_sold", F.col("units_sold").cast("double"))
+
+
 # --- months ----------------------------------------------------------------
 
 
@@ -418,6 +455,12 @@ def report_title(spark, d):
     return present.granularity_title(trend, "Species Sales", "Weekly")
 
 
+@_query
+def display_report(spark, d):
+    trend = trends.weekly_species_trend(A.invoices(spark, d), AS_OF)
+    return present.display_labels(present.drop_internal(trend))
+
+
 # --- customers -------------------------------------------------------------
 
 

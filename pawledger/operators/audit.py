@@ -24,13 +24,25 @@ def _explode_steps(log: DataFrame) -> DataFrame:
     )
 
 
+def _quoted(quote: str) -> str:
+    """Pattern of a quoted string; a doubled or escaped quote stays inside.
+
+    The loop is possessive, so that long strings do not deepen Java's stack.
+    The second branch is for a string that never ends: it stops at the last
+    doubled or escaped quote.
+    """
+    q = quote
+    body = rf"(?:[^{q}\\]++|{q}{q}|\\{q}|\\)*+"
+    return rf"{q}{body}{q}|{q}[\s\S]*(?:\\{q}|{q}(?={q}))"
+
+
 def strip_literals(sql: Column) -> Column:
     """SQL text without comments and without the contents of quoted strings."""
     text = F.regexp_replace(sql, r"(?s)/\*.*?\*/", " ")
     text = F.regexp_replace(text, r"--[^\r\n]*", " ")
     text = F.regexp_replace(text, r"#[^\r\n]*", " ")
-    text = F.regexp_replace(text, r"'(?:[^'\\]++|''|\\'|\\)*'", "''")
-    return F.regexp_replace(text, r'"(?:[^"\\]++|""|\\"|\\)*"', '""')
+    text = F.regexp_replace(text, _quoted("'"), "''")
+    return F.regexp_replace(text, _quoted('"'), '""')
 
 
 def audit_statement_type(
@@ -47,12 +59,15 @@ def audit_statement_type(
 
 def _names_relation(text: Column, alias: Column) -> Column:
     """True if ``text`` uses ``alias`` as a table, view or CTE name."""
-    quoted = F.concat(F.lit(r"\Q"), alias, F.lit(r"\E"))
+    quoted = F.regexp_replace(alias, r"(\W)", r"\\$1")
     ident = F.concat(F.lit("(?:`"), quoted, F.lit("`|"), quoted, F.lit(")"))
     qualifier = r"(?:`?[A-Za-z_][A-Za-z0-9_]*`?\s*\.\s*)?"
     clause = F.concat(F.lit(rf"(?i)\b{RELATION_WORDS}\s+{qualifier}"), ident, F.lit(r"\b"))
     cte = F.concat(F.lit(r"(?i)\bWITH\b[\s\S]*?\b"), ident, F.lit(r"\b\s+AS\s*\("))
-    return F.regexp_like(text, clause) | F.regexp_like(text, cte)
+    # The plain search comes first: few texts hold the name at all, and a
+    # pattern made from a column has to be compiled for every row.
+    mentioned = F.lower(text).contains(F.lower(alias))
+    return mentioned & (F.regexp_like(text, clause) | F.regexp_like(text, cte))
 
 
 def audit_alias_refs(log: DataFrame) -> DataFrame:
@@ -67,7 +82,10 @@ def audit_alias_refs(log: DataFrame) -> DataFrame:
         "request_id", aliases.alias("aliases"), F.explode("sql_steps").alias("step")
     ).select("request_id", "step.step_id", "aliases", strip_literals(F.col("step.sql")).alias("text"))
     found = F.filter("aliases", lambda a: _names_relation(F.col("text"), a))
-    named = steps.select("request_id", "step_id", found.alias("found")).filter(F.size("found") > 0)
+    # Exploding the zero or one hits keeps Catalyst from moving a filter on
+    # them below the stripping, where it would be done once per use.
+    hit = F.explode(F.filter(F.array(found), lambda names: F.size(names) > 0))
+    named = steps.select("request_id", "step_id", hit.alias("found"))
     return named.select(
         "request_id", "step_id", F.array_join("found", ", ").alias("offending_aliases")
     )
@@ -80,18 +98,24 @@ def rule_checks(
 ) -> dict[str, Column]:
     """Named checks of one stripped SQL text; true where the rule is broken."""
     tables = "|".join(prefix + t for t in retired_tables)
-    has_year = F.regexp_like(code, F.lit(rf"(?i)\bYEAR\s*\(\s*(?:\w+\.)?{DATE_COLUMN}\s*\)\s*="))
-    has_month = F.regexp_like(code, F.lit(rf"(?i)\bMONTH\s*\(\s*(?:\w+\.)?{DATE_COLUMN}\s*\)\s*="))
-    patterns = {
-        "banned_table": rf"(?i)\b(?:FROM|JOIN)\s+`?(?:{tables})`?\b",
-        "between_on_date": rf"(?i)\b{DATE_COLUMN}\s+BETWEEN\b",
-        "sum_invoice_amount": r"(?i)\bSUM\s*\(\s*(?:\w+\.)?invoice_amount\b",
-        "text_cancelled_filter": r"(?i)\bcancelled\b[^=<>]{0,20}=\s*(?:''|FALSE\b|TRUE\b)",
-        "reserved_alias": r"(?i)\bAS\s+`?year_month`?\b",
+    text = F.lower(code)
+
+    def hit(word: str, pattern: str) -> Column:
+        # A plain search for the word spares most texts the pattern.
+        return text.contains(word) & F.regexp_like(code, F.lit("(?i)" + pattern))
+
+    date_part = rf"\s*\(\s*(?:\w+\.)?{DATE_COLUMN}\s*\)\s*="
+    has_month = hit("month", rf"\bMONTH{date_part}")
+    return {
+        "banned_table": hit(prefix.lower(), rf"\b(?:FROM|JOIN)\s+`?(?:{tables})`?\b"),
+        "between_on_date": hit("between", rf"\b{DATE_COLUMN}\s+BETWEEN\b"),
+        "sum_invoice_amount": hit("invoice_amount", r"\bSUM\s*\(\s*(?:\w+\.)?invoice_amount\b"),
+        "text_cancelled_filter": hit(
+            "cancelled", r"\bcancelled\b[^=<>]{0,20}=\s*(?:''|FALSE\b|TRUE\b)"
+        ),
+        "reserved_alias": hit("year_month", r"\bAS\s+`?year_month`?\b"),
+        "year_without_month": hit("year", rf"\bYEAR{date_part}") & ~has_month,
     }
-    checks = {name: F.regexp_like(code, F.lit(p)) for name, p in patterns.items()}
-    checks["year_without_month"] = has_year & ~has_month
-    return checks
 
 
 def broken_rules(log: DataFrame) -> DataFrame:
@@ -99,8 +123,9 @@ def broken_rules(log: DataFrame) -> DataFrame:
     steps = _explode_steps(log).filter(F.col("sql").isNotNull())
     steps = steps.withColumn("code", strip_literals(F.col("sql")))
     checks = rule_checks(F.col("code"))
-    names = F.array_compact(F.array(*[F.when(hit, F.lit(n)) for n, hit in checks.items()]))
-    return steps.select("request_id", "step_id", F.explode(names).alias("rule"))
+    checked = steps.withColumns(checks)
+    names = F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in checks]))
+    return checked.select("request_id", "step_id", F.explode(names).alias("rule"))
 
 
 def audit_rules(log: DataFrame) -> DataFrame:
