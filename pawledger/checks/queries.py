@@ -14,7 +14,7 @@ from pawledger.functions import periods as P
 from pawledger.functions import present
 from pawledger.operators import audit, customers, inventory, lifestage, payments, trends, weekly
 from pawledger.plans import dashboard
-from pawledger.sources import scans, views
+from pawledger.sources import scans, sinks, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,7 +70,7 @@ def _prior_ids(spark: SparkSession, d: str) -> DataFrame:
     return scans.prior_clients(A.visit_clients(spark, d), A.visits(spark, d), WEEK[0])
 
 
-def _dashboard(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def _dashboard(spark: SparkSession, d: str, only: tuple[str, ...]) -> dict[str, DataFrame]:
     return dashboard.weekly_dashboard(
         A.visits(spark, d),
         A.visit_clients(spark, d),
@@ -78,6 +78,7 @@ def _dashboard(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         A.stocks(spark, d),
         *WEEK,
         phantom_patterns=PHANTOM_STOCK,
+        only=only,
     )
 
 
@@ -153,12 +154,12 @@ def life_stage_metrics(spark, d):
 
 @_query
 def tidy_dashboard(spark, d):
-    return dashboard.tidy_dashboard(_dashboard(spark, d))
+    return dashboard.tidy_dashboard(_dashboard(spark, d, dashboard.TIDY_METRICS))
 
 
 @_query
 def kpi_headline(spark, d):
-    return dashboard.kpi_headline(_dashboard(spark, d))
+    return dashboard.kpi_headline(_dashboard(spark, d, dashboard.HEADLINE_METRICS))
 
 
 @_query
@@ -591,6 +592,14 @@ def payment_mix(spark, d):
 # --- query log -------------------------------------------------------------
 
 
+@_query
+def result_step(spark, d):
+    report = trends.monthly_revenue(A.invoices(spark, d))
+    step = sinks.result_step(report, 1, "revenue by month", "", "monthly_revenue")
+    previews = F.size("data_preview").alias("preview_rows")
+    return _texts(step.select("step_id", "result_alias", "row_count", "columns", previews), "columns")
+
+
 @_query
 def audit_statement_type(spark, d):
     return audit.audit_statement_type(A.query_log(spark, d))

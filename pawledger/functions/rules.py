@@ -169,6 +169,11 @@ MEAN_MONTH_DAYS = 30.44
 TREND_THRESHOLD = 10.0
 TREND_LABELS = ("Growing ↑", "Declining ↓", "Stable →")
 
+# Warnings of the weekly dashboard; {} is the coverage in per cent.
+PARTIAL_WEEK = "Only {}% of week days have data — partial week."
+NO_CUSTOMERS = "No customer data for this week."
+NO_NEW_CLIENTS = "new_client_ids is empty — clients ETL backfill (from 2010) has not run yet."
+
 # Business names of technical columns in ad-hoc results.
 BUSINESS_ALIASES = {
     "patient_species": "species",

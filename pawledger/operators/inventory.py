@@ -220,7 +220,7 @@ def sku_pareto(
         "sku_name",
         "revenue",
         "cum_revenue",
-        F.round(100.0 * cum / total, 2).alias("cum_pct"),
+        F.round(100.0 * cum / F.nullif(total, F.lit(0.0)), 2).alias("cum_pct"),
     )
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pawledger.functions import columns as C
 from pawledger.functions import periods as P
+from pawledger.functions import rules
 
 PRIOR_WEEKS = 3
 
@@ -128,9 +129,7 @@ def total_sales(
         mean_of(F.when(~current, F.col("value"))).alias("prior_avg"),
         coverage_pct(F.coalesce(F.sum(F.when(current, F.col("days"))), F.lit(0))).alias("cov"),
     )
-    warning = F.concat(
-        F.lit("Only "), F.col("cov").cast("string"), F.lit("% of week days have data — partial week.")
-    )
+    warning = F.replace(F.lit(rules.PARTIAL_WEEK), F.lit("{}"), F.col("cov").cast("string"))
     return figures.select(
         F.bround("this_week", 0).alias("value"),
         F.bround("prior_avg", 0).alias("prior_value"),
@@ -193,7 +192,7 @@ def repeat_customers(
     )
     total, repeat = F.col("total_customers"), F.col("repeat_customers")
     share = F.bround(100.0 * repeat / total, 1)
-    warning = F.when(total == 0, F.lit("No customer data for this week."))
+    warning = F.when(total == 0, F.lit(rules.NO_CUSTOMERS))
     return counts.select(
         total,
         repeat,
@@ -224,7 +223,7 @@ def new_vs_existing_customers(
     bucket = C.species_bucket("patient_species").alias("species")
     per_client = _client_revenue(fact, new_ids, ws, we, bucket)
     kind = F.when(F.col("is_new"), "New").otherwise("Existing")
-    order = F.when(F.col("species") == "Canine", 0).when(F.col("species") == "Feline", 1).otherwise(2)
+    order = F.array_position(F.lit(list((*rules.MAIN_SPECIES, rules.OTHER_SPECIES))), F.col("species"))
     report = per_client.groupBy(kind.alias("customer_type"), "species").agg(
         F.count("client_id").alias("client_count"),
         F.bround(F.sum("total").cast("double"), 0).alias("revenue"),
@@ -252,7 +251,7 @@ def new_vs_existing_revenue(
     def share(part: Column) -> Column:
         return F.when(t != 0, F.bround(100.0 * part / t, 1)).otherwise(F.lit(0.0))
 
-    warning = F.when(F.col("no_new"), F.lit("No new clients are registered for this week."))
+    warning = F.when(F.col("no_new"), F.lit(rules.NO_NEW_CLIENTS))
     return merged.select(
         F.bround(n, 0).alias("new_revenue"),
         F.bround(t - n, 0).alias("existing_revenue"),
@@ -268,7 +267,7 @@ def life_stage_metrics(
 ) -> DataFrame:
     """Revenue and distinct invoices by species and life stage."""
     species = F.col("patient_species")
-    rows = _week_rows(fact, ws, we).filter(species.isin("Canine", "Feline"))
+    rows = _week_rows(fact, ws, we).filter(species.isin(list(rules.LIFE_STAGES)))
     age = C.age_months_approx("birth_date", P.SERVICE_DATE)
     staged = rows.join(patients, "patient_id").withColumn("life_stage", C.life_stage(species, age))
     report = staged.groupBy(species.alias("species"), "life_stage").agg(

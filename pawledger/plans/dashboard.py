@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,20 @@ from pawledger.operators import inventory, weekly
 from pawledger.sources import scans
 
 
+# The metrics that the long form and the headline are made of.
+TIDY_METRICS = (
+    "total_sales",
+    "species_sales",
+    "category_top",
+    "invoice_count_by_species",
+    "day_night_split",
+    "life_stage_metrics",
+    "inventory_value",
+    "new_vs_existing_revenue",
+)
+HEADLINE_METRICS = ("total_sales", "repeat_customers", "inventory_value")
+
+
 def week_fact(
     invoices: DataFrame, ws: date, we: date, prior_weeks: int = weekly.PRIOR_WEEKS
 ) -> DataFrame:
@@ -33,11 +47,12 @@ def weekly_dashboard(
     prior_weeks: int = weekly.PRIOR_WEEKS,
     top_n: int = 5,
     phantom_patterns: Sequence[str] = rules.PHANTOM_STOCK_PATTERNS,
+    only: Collection[str] | None = None,
     persist: bool = False,
 ) -> dict[str, DataFrame]:
-    """All metrics of a week as lazy DataFrames over one filtered fact.
+    """The metrics of a week as lazy DataFrames over one filtered fact.
 
-    With ``persist`` the fact, a few weeks of seven columns, is kept between
+    ``only`` names the metrics to build, by default all of them. With ``persist`` the fact, a few weeks of seven columns, is kept between
     the metrics' actions; it is returned as ``_fact`` for ``unpersist``.
     """
     fact = week_fact(invoices, ws, we, prior_weeks)
@@ -47,18 +62,23 @@ def weekly_dashboard(
     new_ids = scans.new_clients(clients, ws, end)
     known = scans.prior_clients(clients, invoices, ws)
     births = scans.scan_patients(patients)
-    metrics = {
-        "total_sales": weekly.total_sales(fact, ws, we, prior_weeks),
-        "repeat_customers": weekly.repeat_customers(fact, known, ws, we),
-        "species_sales": weekly.species_sales(fact, ws, we, prior_weeks),
-        "category_top": weekly.category_top_n(fact, ws, we, top_n, prior_weeks),
-        "invoice_count_by_species": weekly.invoice_count_by_species(fact, ws, we, prior_weeks),
-        "day_night_split": weekly.day_night_split(fact, ws, we, prior_weeks),
-        "new_vs_existing_customers": weekly.new_vs_existing_customers(fact, new_ids, ws, we),
-        "new_vs_existing_revenue": weekly.new_vs_existing_revenue(fact, new_ids, ws, we),
-        "inventory_value": inventory.inventory_value(scans.scan_stocks(stocks, phantom_patterns)),
-        "life_stage_metrics": weekly.life_stage_metrics(fact, births, ws, we),
+    stock = scans.scan_stocks(stocks, phantom_patterns)
+    week = (ws, we)
+    builders = {
+        "total_sales": lambda: weekly.total_sales(fact, *week, prior_weeks),
+        "repeat_customers": lambda: weekly.repeat_customers(fact, known, *week),
+        "species_sales": lambda: weekly.species_sales(fact, *week, prior_weeks),
+        "category_top": lambda: weekly.category_top_n(fact, *week, top_n, prior_weeks),
+        "invoice_count_by_species": lambda: weekly.invoice_count_by_species(
+            fact, *week, prior_weeks
+        ),
+        "day_night_split": lambda: weekly.day_night_split(fact, *week, prior_weeks),
+        "new_vs_existing_customers": lambda: weekly.new_vs_existing_customers(fact, new_ids, *week),
+        "new_vs_existing_revenue": lambda: weekly.new_vs_existing_revenue(fact, new_ids, *week),
+        "inventory_value": lambda: inventory.inventory_value(stock),
+        "life_stage_metrics": lambda: weekly.life_stage_metrics(fact, births, *week),
     }
+    metrics = {name: builders[name]() for name in builders if only is None or name in only}
     if persist:
         metrics["_fact"] = fact
     return metrics
