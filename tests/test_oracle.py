@@ -5,6 +5,7 @@ import pytest
 import __spark_entry__ as entry
 import compare
 from conftest import SMALL
+from pawledger.checks import oracle, queries as registry
 
 
 @pytest.fixture(scope="module")
@@ -15,13 +16,13 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.registered()) == set(oracle.statements())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.registered()))
 def test_query_equals_sql(spark, con, name):
-    columns, cells = compare.spark_table(entry.queries()[name](spark, SMALL))
-    sql_columns, sql_cells = compare.sql_table(con, entry.oracle_sql()[name])
+    columns, cells = compare.spark_table(registry.registered()[name](spark, SMALL))
+    sql_columns, sql_cells = compare.sql_table(con, oracle.statements()[name])
     assert columns == sql_columns
     assert cells == sql_cells
     assert cells, "a query without rows checks nothing"
@@ -35,7 +36,7 @@ def test_other_time_zone(spark, con):
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
         for name in ("life_stage_metrics", "day_night_split", "calendar_labels", "weekly_kpi"):
-            got = compare.spark_table(entry.queries()[name](spark, SMALL))
-            assert got == compare.sql_table(con, entry.oracle_sql()[name]), name
+            got = compare.spark_table(registry.registered()[name](spark, SMALL))
+            assert got == compare.sql_table(con, oracle.statements()[name]), name
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -7,8 +7,9 @@ from datetime import date
 
 import pytest
 
-import __spark_entry__ as entry
+
 from conftest import SMALL
+from pawledger.checks import queries as registry
 from pawledger.operators import customers, trends, weekly
 from pawledger.plans import dashboard
 from pawledger.sources import tables
@@ -64,9 +65,9 @@ def test_visits_are_cut_before_the_shuffle(stored):
     assert len(re.findall(r"^\(\d+\) WindowGroupLimit", text, re.M)) == 2
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.registered()))
 def test_no_python_and_no_cross_join(spark, name):
-    text = plan(entry.queries()[name](spark, SMALL))
+    text = plan(registry.registered()[name](spark, SMALL))
     for word in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin", "Scan ExistingRDD"):
         if name == "sku_pareto" and word == "Scan ExistingRDD":
             continue  # reads its checkpoint
