@@ -193,7 +193,7 @@ def versions(documents: DataFrame) -> DataFrame:
 
 def fixed(table: np.ndarray) -> pa.Array:
     """The rows of a table of numbers as binary values."""
-    data = np.ascontiguousarray(table).view(np.uint8).reshape(len(table), -1)
+    data = np.ascontiguousarray(table).view(np.uint8).reshape(len(table), table.shape[1] * table.itemsize)
     bounds = np.arange(len(table) + 1, dtype=np.int32) * data.shape[1]
     return pa.Array.from_buffers(pa.binary(), len(table), [None, pa.py_buffer(bounds), pa.py_buffer(data.tobytes())])
 

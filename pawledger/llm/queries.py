@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import near_documents, near_lines, packing, suffix_arrays, token_ids
+import corpus_pipeline
+
+from . import chat, licenses, near_documents, near_lines, packing, quality_model, quality_rules, secrets, suffix_arrays, token_ids
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +31,73 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    found = secrets.secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_model", "top_score")
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that share 85 % of their five-word shingles."""
     return near_documents.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from the labels that are not held out."""
+    return quality_model.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of the weighed rules for all documents."""
+    rows = quality_rules.rated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"]
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), *[f"__q.{name}" for name in names])
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in all documents."""
+    return licenses.found_licenses(table(spark, sf_dir, "documents"))
+
+
+#: Texts that hold the marks of other templates.
+MARKED = "\\### Assistant: </turn> ok"
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one with marks in its texts, rendered and read back."""
+    marked = F.lit(MARKED)
+    turns = [F.struct(F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role")) for k, role in enumerate(("user", "assistant"))]
+    more = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.inline(F.array(*turns)), marked.alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    return chat.digest(chat.rendered(chat.folded(chat.as_events(rows))))
+
+
+OP9_SQL = f"""
+WITH rows AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{MARKED}'
+  UNION ALL SELECT -7, 1, 'assistant', '{MARKED}'
+), turns AS (
+  SELECT conv_id, turn, text AS sorted_text, role AS sorted_role, coalesce(role, '') AS role, coalesce(text, '') AS text FROM rows
+), marked AS (
+  SELECT *,
+    replace(replace(replace(role, '~', '~0'), '<', '~1'), '>', '~2') AS shown_role,
+    replace(replace(replace(text, '~', '~0'), '<', '~1'), '>', '~2') AS shown_text
+  FROM turns
+), joined AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, sorted_role NULLS FIRST, sorted_text NULLS FIRST) AS whole,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, sorted_role NULLS FIRST, sorted_text NULLS FIRST)
+      FILTER (WHERE role = 'assistant'), '') AS loss,
+    sum(length('<' || shown_role || '>' || shown_text || '</turn>' || chr(10))) AS formatted_chars
+  FROM marked GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM joined
+"""
+
+
 def op10_near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without lines that repeat, with counts and a digest of the text left."""
     rows = near_lines.deduplicated(table(spark, sf_dir, "documents"))
@@ -45,12 +109,23 @@ def op10_near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = (op1_token_ids, op2_packing, op3_decontamination, op5_near_duplicates, op10_near_lines)
+QUERIES = (
+    op1_token_ids,
+    op2_packing,
+    op3_decontamination,
+    op4_secrets,
+    op5_near_duplicates,
+    op6_quality_model,
+    op7_quality_rules,
+    op8_licenses,
+    op9_chat,
+    op10_near_lines,
+)
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in QUERIES}
+    return {query.__name__: query for query in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def statements() -> dict[str, str]:
-    return {}
+    return {"op9_chat": OP9_SQL}

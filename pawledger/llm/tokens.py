@@ -22,7 +22,7 @@ SIMPLE = rf" ?[{LETTER}]+| ?[0-9]+| ?[!-&(-/:-@\[-`{{-~]+|\n"
 PIECE = re.compile(
     rf" ?[{LETTER}]+(?=[\t-\r -@\[-`{{-~]|\Z)"
     rf"| ?[!-&(-/:-@\[-`{{-~]+(?=[\t-\r 0-9A-Za-z]|\Z)"
-    rf"| ?[0-9]+(?=[\t-\r -~]|\Z)"
+    rf"| ?[0-9]+(?=[\t-\r -/:-~]|\Z)"
     rf"|\n(?=[!-~{LETTER}])"
     rf"|[ \t-\r]*[^ \t-\r]+|[ \t-\r]+"
 )
