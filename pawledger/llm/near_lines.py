@@ -176,7 +176,7 @@ def line_table(documents: DataFrame) -> DataFrame:
                     pa.array(number[full].astype(np.int32)),
                     fixed(prints(chars, starts)[full]),
                     pa.array(sketch(low[full]).view(np.int64)),
-                    fixed(np.ascontiguousarray(keys.reshape(len(full), -1))),
+                    fixed(np.ascontiguousarray(keys.reshape(len(full), BANDS * 6))),
                 ],
                 ["doc_id", "version", "line", "print", "sketch", "keys"],
             )
