@@ -26,7 +26,41 @@ CATEGORIES = (
     "Medvet",
     "At Home Protocols",
     "Surgery",
+    "Imaging",
+    "Cardiology",
+    "Parenteral Medication",
+    "Parenteral Medication 12%",
+    "Parenteral Fluids",
+    "Preventive Medicine",
+    "Anesthesia Gas",
+    "Anesthesia Parenteral",
+    "Sedation",
+    "Non Prescription Items",
+    "Hospitalization & Care",
+    "Procedure",
+    "Grooming",
+    "Swimming",
+    "Boarding",
+    "Registration",
+    "Behavior",
+    "Euthanasia",
+    "Certificates",
+    "Exam",
+    "Telephone",
+    "Neoplasia / Tumor",
+    "New Category",
+    "Body Care",
+    "Office Supplies",
+    "Canine Education",
+    "General Education",
+    "Exotics Education",
+    "Birds Education",
+    "Instructions",
+    "Diets\\Food",
+    "PRESCRIPTION",
+    "Gift Cards",
 )
+BREEDS = ("Beagle", "Indie", "Persian", None, "Siamese")
 SPECIES = ("Canine", "Canine", "Canine", "Feline", "Feline", "Rabbit", "Avian")
 VISIT_SPECIES = (*SPECIES[:6], None)
 CLINICS = ((1, "North"), (2, "South"), (3, "East"), (4, "West"))
@@ -36,7 +70,7 @@ LOG_SQL = (
     "SELECT SUM(total) AS revenue FROM visit_lines WHERE cancelled = 0 AND performed_date >= '{d}'",
     "SELECT * FROM step_one",
     "SELECT 'FROM step_one' AS note, COUNT(*) FROM visit_lines -- JOIN step_two",
-    "SELECT SUM(i.invoice_amount) AS r FROM legacy_invoices i"
+    "SELECT SUM(i.invoice_amount) AS r FROM old_invoices i"
     " WHERE i.performed_date BETWEEN '{d}' AND '{d}'",
     "DELETE FROM visit_lines WHERE performed_date < '{d}'",
     "with step_two as (select 1) select * from step_two",
@@ -47,7 +81,17 @@ LOG_SQL = (
     "  explain SELECT * FROM db.step_two WHERE x = 1",
     "",
     "UPDATE step_two SET note = 'it''s FROM step_one' WHERE cancelled = FALSE",
+    "SELECT 'a -- b' AS n, x FROM step_one",
+    "SELECT '/* ' AS a FROM step_two WHERE b = ' */'",
+    "SELECT 'it''s # one' AS n, \"-- two\" AS m FROM step_two",
+    "SELECT 1 /* it's */ AS a FROM step_one -- don't JOIN step_two",
+    "WITH q AS (SELECT 1 AS a) INSERT INTO kept SELECT a FROM q",
+    "WITH q AS (SELECT x FROM (SELECT 1 AS x) y) DELETE FROM kept WHERE a IN (SELECT x FROM q)",
+    "SELECT * FROM `old_stock` s JOIN db.step_one t ON t.a = s.a",
+    "SELECT 'open FROM step_one",
 )
+# Tables that no step of the log may read.
+BANNED = ("old_invoices", "old_stock")
 LOG_ERRORS = (
     None,
     "Rate limit reached for model",
@@ -103,6 +147,7 @@ def invoices(spark: SparkSession, sf_dir: str, item_names: bool = False) -> Data
         name = F.col("p_name")
     return lines.select(
         _text(order).alias("invoice_id"),
+        F.concat(_text(order), F.lit("-"), _text("l_linenumber")).alias("sales_id"),
         (F.col("o_orderdate") + F.make_dt_interval(days=(order % 3).cast("int"))).alias(
             "invoice_date"
         ),
@@ -112,10 +157,13 @@ def invoices(spark: SparkSession, sf_dir: str, item_names: bool = False) -> Data
         _text("o_custkey").alias("client_id"),
         _text(patient).alias("patient_id"),
         _pick(SPECIES, patient).alias("patient_species"),
+        _pick(BREEDS, patient).alias("patient_breed"),
         _text(part).alias("plan_item_id"),
         name.alias("plan_item_name"),
         _pick(CATEGORIES, part).alias("plan_category_name"),
         F.col("l_quantity").cast("decimal(18,3)").alias("quantity"),
+        F.col("l_discount").cast("decimal(18,2)").alias("discount"),
+        F.col("l_tax").cast("decimal(18,2)").alias("tax_amount"),
         F.col("l_extendedprice").cast("decimal(18,2)").alias("total"),
         _text(F.col("l_suppkey") % 3 + 1).alias("clinic_id"),
     )
@@ -218,6 +266,7 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").cast("decimal(18,2)").alias("payment_amount"),
         F.col("o_orderpriority").alias("payment_type_name"),
         F.when(F.col("o_orderkey") % 20 == 0, 1).otherwise(0).alias("is_return"),
+        F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0).alias("is_membership"),
     )
 
 

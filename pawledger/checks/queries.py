@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from datetime import date
 
@@ -14,6 +15,7 @@ from pawledger.functions import periods as P
 from pawledger.functions import present
 from pawledger.operators import audit, customers, inventory, lifestage, payments, trends, weekly
 from pawledger.plans import dashboard
+from pawledger.session import CHECKPOINT_DIR
 from pawledger.sources import scans, sinks, views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,8 +23,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 # The dashboard's week, and one that begins before the data ends.
 WEEK = (date(2024, 1, 22), date(2024, 1, 28))
 LAST_WEEK = (date(2024, 1, 29), date(2024, 2, 4))
-# The day after the last order, its last complete month, and other periods.
-AS_OF = date(2001, 8, 2)
+# A Wednesday in the middle of the data, a month near its end, and other periods.
+AS_OF = date(2000, 5, 17)
 YEAR, MONTH = 2001, 7
 JULY = P.month(YEAR, MONTH)
 JUNE = P.month(2001, 6)
@@ -45,6 +47,14 @@ def registered() -> dict[str, Query]:
     return dict(_REGISTRY)
 
 
+def _own_checkpoint_dir(spark: SparkSession) -> None:
+    """A scratch folder, only for sessions that were given none."""
+    context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
+    if not named:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+
+
 def _texts(df: DataFrame, *columns: str) -> DataFrame:
     """List and date columns as text, which every engine prints alike."""
 
@@ -82,6 +92,12 @@ def _dashboard(spark: SparkSession, d: str, only: tuple[str, ...]) -> dict[str,
     )
 
 
+def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """All tables of the dashboard with totals; only the one that is used runs."""
+    names = (*dashboard.TIDY_METRICS, "new_vs_existing_customers", "repeat_customers")
+    return dashboard.table_totals(_dashboard(spark, d, names))
+
+
 def _staged(spark: SparkSession, d: str) -> DataFrame:
     return views.invoice_life_stage(A.invoices(spark, d), A.patients(spark, d))
 
@@ -154,7 +170,14 @@ def life_stage_metrics(spark, d):
 
 @_query
 def tidy_dashboard(spark, d):
-    return dashboard.tidy_dashboard(_dashboard(spark, d, dashboard.TIDY_METRICS))
+    return dashboard.tidy_week(
+        A.visits(spark, d),
+        A.visit_clients(spark, d),
+        A.visit_patients(spark, d),
+        A.stocks(spark, d),
+        *WEEK,
+        phantom_patterns=PHANTOM_STOCK,
+    )
 
 
 @_query
@@ -174,6 +197,41 @@ def species_sales_with_total(spark, d):
     return present.non_zero_rows(table, "this_week_revenue").drop("prior_3wk_avg")
 
 
+@_query
+def category_top5_with_total(spark, d):
+    return _tables(spark, d)["category_top"].drop("prior_3wk_avg")
+
+
+@_query
+def bills_with_total(spark, d):
+    return _tables(spark, d)["invoice_count_by_species"].drop("prior_3wk_avg")
+
+
+@_query
+def day_night_with_total(spark, d):
+    return _tables(spark, d)["day_night_split"].drop("prior_3wk_avg")
+
+
+@_query
+def life_stage_with_total(spark, d):
+    return _tables(spark, d)["life_stage_metrics"]
+
+
+@_query
+def inventory_with_total(spark, d):
+    return _tables(spark, d)["inventory_value"]
+
+
+@_query
+def revenue_by_segment_with_total(spark, d):
+    return _tables(spark, d)["new_vs_existing_revenue"]
+
+
+@_query
+def customers_with_total(spark, d):
+    return _tables(spark, d)["new_vs_existing_customers"]
+
+
 # --- inventory -------------------------------------------------------------
 
 
@@ -234,6 +292,7 @@ def top_skus(spark, d):
 
 @_query
 def sku_pareto(spark, d):
+    _own_checkpoint_dir(spark)
     return inventory.sku_pareto(A.invoices(spark, d, item_names=True), AS_OF)
 
 
@@ -247,7 +306,7 @@ def sku_trend(spark, d):
 
 @_query
 def data_coverage(spark, d):
-    report = scans.data_coverage(A.invoices(spark, d), P.Period(date(2001, 8, 1), AS_OF))
+    report = scans.data_coverage(A.invoices(spark, d), P.day(date(2001, 8, 1)))
     return _texts(report, "earliest_date", "latest_date")
 
 
@@ -310,6 +369,43 @@ def ad_hoc_sql(spark, d):
     ).withColumn("units_sold", F.col("units_sold").cast("double"))
 
 
+@_query
+def ad_hoc_discount_and_tax(spark, d):
+    views.register_views(spark, {"invoices": A.invoices(spark, d)}, prefix="lines_")
+    return views.ask(
+        spark,
+        """SELECT patient_breed, COUNT(DISTINCT sales_id) AS line_count,
+             CAST(SUM(discount) AS DOUBLE) AS discount, CAST(SUM(tax_amount) AS DOUBLE) AS tax_amount
+           FROM lines_invoices WHERE cancelled = 0 GROUP BY patient_breed""",
+    )
+
+
+@_query
+def ad_hoc_membership(spark, d):
+    views.register_views(spark, {"payments": A.payments(spark, d)}, prefix="paid_")
+    return views.ask(
+        spark,
+        """SELECT is_membership, is_return, COUNT(*) AS payment_count,
+             CAST(SUM(payment_amount) AS DOUBLE) AS amount
+           FROM paid_payments GROUP BY is_membership, is_return""",
+    )
+
+
+@_query
+def revenue_of_named_month(spark, d):
+    return trends.active_revenue(A.invoices(spark, d), P.resolve_named_month(AS_OF, 11))
+
+
+@_query
+def revenue_of_previous_months(spark, d):
+    return trends.monthly_revenue(A.invoices(spark, d), P.previous_months(AS_OF, 4))
+
+
+@_query
+def customer_count_other_phantom(spark, d):
+    return trends.customer_count(A.invoices(spark, d), phantom="7")
+
+
 # --- months ----------------------------------------------------------------
 
 
@@ -369,6 +465,19 @@ def category_group_monthly(spark, d):
     return trends.category_group_monthly(A.invoices(spark, d), AS_OF)
 
 
+@_query
+def category_group_whole_months(spark, d):
+    return trends.category_group_monthly(
+        A.invoices(spark, d), AS_OF, complete_start=True, complete_end=True
+    )
+
+
+@_query
+def monthly_title(spark, d):
+    trend = trends.category_monthly_trend(A.invoices(spark, d), AS_OF)
+    return present.granularity_title(trend, "Category Sales", "Monthly")
+
+
 @_query
 def by_clinic(spark, d):
     return trends.by_clinic(
@@ -433,7 +542,7 @@ def category_group_weekly(spark, d):
 
 @_query
 def life_stage_weekly_trend(spark, d):
-    return trends.life_stage_weekly_trend(_staged(spark, d), AS_OF)
+    return trends.life_stage_weekly_trend(A.invoices(spark, d), A.patients(spark, d), AS_OF)
 
 
 @_query
@@ -494,7 +603,7 @@ def new_vs_existing_first_day(spark, d):
 
 @_query
 def new_customer_species_mix(spark, d):
-    period = P.last_complete_month(AS_OF)
+    period = P.last_complete_month(date(2000, 6, 10))
     return customers.new_customer_species_mix(A.invoices(spark, d), A.clients(spark, d), period)
 
 
@@ -549,7 +658,7 @@ def life_stage_monthly_trend(spark, d):
 
 @_query
 def life_stage_snapshot(spark, d):
-    return lifestage.life_stage_snapshot(_staged(spark, d), AS_OF)
+    return lifestage.life_stage_snapshot(A.invoices(spark, d), A.patients(spark, d), AS_OF)
 
 
 @_query
@@ -612,7 +721,7 @@ def audit_alias_refs(spark, d):
 
 @_query
 def audit_rules(spark, d):
-    return audit.audit_rules(A.query_log(spark, d))
+    return audit.audit_rules(A.query_log(spark, d), A.BANNED)
 
 
 @_query

@@ -5,7 +5,7 @@ All of them are built-in expressions, so they stay inside whole-stage codegen.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -105,8 +105,8 @@ def month_label(ts: Column | str) -> Column:
     return F.date_format(F.to_date(as_column(ts)), "yyyy-MM")
 
 
-def time_band(ts: Column | str) -> Column:
-    first, last = rules.DAY_HOURS
+def time_band(ts: Column | str, hours: tuple[int, int] = rules.DAY_HOURS) -> Column:
+    first, last = hours
     hour = F.hour(as_column(ts))
     return F.when((hour >= first) & (hour < last), rules.DAY_LABEL).otherwise(rules.NIGHT_LABEL)
 
@@ -135,11 +135,15 @@ def age_months_approx(birth: Column | str, ts: Column | str) -> Column:
     return (micros / F.lit(rules.MEAN_MONTH_DAYS * MICROS_PER_DAY)).cast("int")
 
 
-def life_stage(species: Column | str, age: Column | str) -> Column:
+def life_stage(
+    species: Column | str,
+    age: Column | str,
+    by_species: Mapping[str, rules.LifeStages] = rules.LIFE_STAGES,
+) -> Column:
     """Stage by species and age in months; NULL for other species or no age."""
     s, a = as_column(species), as_column(age)
     result = F.lit(None).cast("string")
-    for name, stages in rules.LIFE_STAGES.items():
+    for name, stages in by_species.items():
         stage = (
             F.when(a < stages.adult_from, stages.young)
             .when(a < stages.senior_from, "Adult")

@@ -21,10 +21,10 @@ BILLING_DATE = "invoice_date"
 
 
 class Period(NamedTuple):
-    """Half-open date range."""
+    """Half-open date range; an open side is None."""
 
-    start: date
-    end: date
+    start: date | None
+    end: date | None
 
 
 # --- bounds ----------------------------------------------------------------
@@ -97,6 +97,24 @@ def months_back(as_of: date, n: int) -> date:
     return add_months(as_of, -n)
 
 
+def up_to(as_of: date, start: date | None = None) -> Period:
+    """From a start, or from the first row on, to the end of the reference day."""
+    return Period(start, as_of + timedelta(days=1))
+
+
+def recent_months(
+    as_of: date, n: int, complete_start: bool = False, complete_end: bool = False
+) -> Period:
+    """From the same day n months ago to the reference day.
+
+    ``complete_start`` begins with the first of that month, ``complete_end``
+    leaves the current month out.
+    """
+    start = months_back(as_of, n)
+    first = first_of_month(start) if complete_start else start
+    return Period(first, first_of_month(as_of) if complete_end else up_to(as_of).end)
+
+
 def complete_months(as_of: date, n: int) -> Period:
     """The last n calendar months, without the current one."""
     end = first_of_month(as_of)

@@ -239,19 +239,3 @@ ERROR_MESSAGES = (
     ("org-", _UNEXPECTED),
 )
 DEFAULT_ERROR_MESSAGE = "We were unable to process this request. Please try again."
-
-# Tables of the retired schema, without their name prefix.
-RETIRED_TABLES = (
-    "invoices",
-    "invoice_patients",
-    "invoice_items",
-    "invoice_item_plan",
-    "invoice_client",
-    "clients",
-    "stock",
-    "stock_plan_category",
-    "stock_plan_item",
-    "stock_bin",
-    "stock_clinic",
-)
-RETIRED_PREFIX = "legacy_"

@@ -97,7 +97,7 @@ def category_stock_coverage(
 
 def _sku_cover(stocks: DataFrame, invoices: DataFrame, as_of: date, days: int) -> DataFrame:
     """Every stocked SKU of a clinic with its days of cover; NULL if unsold."""
-    sales = P.period_rows(invoices, P.Period(P.days_back(as_of, days), None))
+    sales = P.period_rows(invoices, P.up_to(as_of, P.days_back(as_of, days)))
     sold = (
         sales.filter(F.col("plan_item_id").isNotNull())
         .groupBy("plan_item_id")
@@ -139,8 +139,8 @@ def excess_stock(
     )
 
 
-def _sku_sales(invoices: DataFrame, since: date | None) -> DataFrame:
-    rows = P.period_rows(invoices, P.Period(since, None))
+def _sku_sales(invoices: DataFrame, as_of: date, months: int) -> DataFrame:
+    rows = P.period_rows(invoices, P.recent_months(as_of, months))
     sold = rows.filter(F.col("plan_item_id").isNotNull())
     return sold.groupBy(
         F.col("plan_item_id").alias("sku_id"), F.col("plan_item_name").alias("sku_name")
@@ -149,7 +149,7 @@ def _sku_sales(invoices: DataFrame, since: date | None) -> DataFrame:
 
 def top_skus(invoices: DataFrame, as_of: date, months: int = 3, k: int = 25) -> DataFrame:
     """Best-selling SKUs of the last months by revenue."""
-    best = _sku_sales(invoices, P.months_back(as_of, months))
+    best = _sku_sales(invoices, as_of, months)
     best = best.orderBy(F.desc("revenue"), "sku_id", "sku_name").limit(k)
     return best.select(
         "sku_id",
@@ -161,7 +161,7 @@ def top_skus(invoices: DataFrame, as_of: date, months: int = 3, k: int = 25) ->
 
 def sku_trend(invoices: DataFrame, as_of: date, months: int = 6) -> DataFrame:
     """Monthly revenue and units per SKU."""
-    rows = P.period_rows(invoices, P.Period(P.months_back(as_of, months), None))
+    rows = P.period_rows(invoices, P.recent_months(as_of, months))
     sold = rows.filter(F.col("plan_item_id").isNotNull())
     monthly = sold.groupBy(
         C.month_start(P.SERVICE_DATE).alias("month"), "plan_item_id", "plan_item_name"
@@ -192,7 +192,7 @@ def sku_pareto(
     spark = invoices.sparkSession
     ranges = _range_count(spark)
     order = [F.desc("revenue"), F.asc("sku_id"), F.asc("sku_name")]
-    sales = _sku_sales(invoices, P.months_back(as_of, months)).drop("units_sold")
+    sales = _sku_sales(invoices, as_of, months).drop("units_sold")
     ranged = materialize(
         sales.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id())
     )

@@ -1,13 +1,15 @@
 """Weekly and monthly series of any measure, with growth on the period before.
 
 A weekly report of n weeks is built from n + 1 weeks: the newest n + 1 weeks
-that have rows form the spine, the oldest of them is only the baseline. The
-spine has n + 1 rows, so it is always safe to broadcast.
+up to the reference day that have rows form the spine, the oldest of them is
+only the baseline. The spine is read from the date column alone and has n + 1
+rows, so it is always safe to broadcast; lines of other weeks are dropped by it
+before they are added up.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -17,25 +19,24 @@ from pyspark.sql import functions as F
 from pawledger.functions import columns as C
 from pawledger.functions import periods as P
 from pawledger.functions import rules
-
-# Weeks read beyond the n that are shown, so that no spine week is cut off.
-SAFETY_WEEKS = 5
-
-MEASURES: dict[str, Callable[[], Column]] = {
-    "revenue": lambda: F.sum("total").cast("double"),
-    "invoice_count": lambda: F.countDistinct("invoice_id"),
-    "customer_count": lambda: F.countDistinct(
-        F.when(F.col("client_id") != rules.PHANTOM_CLIENT, F.col("client_id"))
+from pawledger.sources.views import staged_lines
+
+# Each measure by the id of the walk-in client, who is no customer.
+MEASURES: dict[str, Callable[[str], Column]] = {
+    "revenue": lambda phantom: F.sum("total").cast("double"),
+    "invoice_count": lambda phantom: F.countDistinct("invoice_id"),
+    "customer_count": lambda phantom: F.countDistinct(
+        F.when(F.col("client_id") != phantom, F.col("client_id"))
     ),
-    "patient_count": lambda: F.countDistinct("patient_id"),
-    "units_sold": lambda: F.sum("quantity").cast("double"),
+    "patient_count": lambda phantom: F.countDistinct("patient_id"),
+    "units_sold": lambda phantom: F.sum("quantity").cast("double"),
 }
 
 Dims = Sequence[Column | str]
 
 
-def measure_columns(names: Sequence[str]) -> list[Column]:
-    return [MEASURES[name]().alias(name) for name in names]
+def measure_columns(names: Sequence[str], phantom: str = rules.PHANTOM_CLIENT) -> list[Column]:
+    return [MEASURES[name](phantom).alias(name) for name in names]
 
 
 def with_dims(rows: DataFrame, dims: dict[str, Column | str]) -> tuple[DataFrame, list[str]]:
@@ -75,16 +76,34 @@ def drop_baseline(series: DataFrame, prev: str = "prev_revenue") -> DataFrame:
 # --- weeks -----------------------------------------------------------------
 
 
-def recent_weeks(rows: DataFrame, as_of: date, n: int, date_col: str) -> DataFrame:
-    """Lines since a little before the n + 1 weeks, with their week's Monday."""
-    since = P.weeks_back(as_of, n + SAFETY_WEEKS)
-    return rows.filter(P.in_range(date_col, since)).withColumn("week", C.week_start(date_col))
+def week_period(as_of: date, lookback_weeks: int | None = None) -> P.Period:
+    """All days up to the reference day, or whole weeks of a given lookback."""
+    if lookback_weeks is None:
+        return P.up_to(as_of)
+    return P.up_to(as_of, P.week_of(P.weeks_back(as_of, lookback_weeks)).start)
+
+
+def week_spine(
+    rows: DataFrame, as_of: date, n: int, date_col: str, lookback_weeks: int | None = None
+) -> DataFrame:
+    """The newest n + 1 weeks with rows, each with the spine week before it.
+
+    Callers who know that no gap is longer may give ``lookback_weeks``; then
+    only so many weeks are searched.
+    """
+    dates = rows.filter(P.in_period(date_col, week_period(as_of, lookback_weeks)))
+    weeks = dates.select(C.week_start(date_col).alias("week")).distinct()
+    newest = weeks.orderBy(F.desc("week")).limit(n + 1)
+    return newest.withColumn("prev_week", F.lag("week").over(W.orderBy("week")))
 
 
-def week_spine(recent: DataFrame, n: int) -> DataFrame:
-    """The newest n + 1 distinct weeks, each with the spine week before it."""
-    weeks = recent.select("week").distinct().orderBy(F.desc("week")).limit(n + 1)
-    return weeks.withColumn("prev_week", F.lag("week").over(W.orderBy("week")))
+def spine_rows(
+    rows: DataFrame, as_of: date, n: int, date_col: str, lookback_weeks: int | None = None
+) -> DataFrame:
+    """The lines of the spine's weeks, with ``week`` and ``prev_week``."""
+    spine = week_spine(rows, as_of, n, date_col, lookback_weeks)
+    upto = rows.filter(P.in_period(date_col, week_period(as_of, lookback_weeks)))
+    return upto.withColumn("week", C.week_start(date_col)).join(F.broadcast(spine), "week")
 
 
 def week_columns() -> list[Column]:
@@ -99,8 +118,8 @@ def weekly_series(
     weeks: int,
     date_col: str = P.SERVICE_DATE,
 ) -> DataFrame:
-    """Plain weekly sums since ``weeks`` weeks ago, without a spine."""
-    since = rows.filter(P.in_range(date_col, P.weeks_back(as_of, weeks)))
+    """Plain weekly sums of whole weeks since the one ``weeks`` weeks ago."""
+    since = rows.filter(P.in_period(date_col, week_period(as_of, weeks)))
     keyed, names = with_dims(since.withColumn("week", C.week_start(date_col)), dims)
     sums = keyed.groupBy("week", *names).agg(*measures)
     kept = [c for c in sums.columns if c != "week"]
@@ -115,16 +134,23 @@ def weekly_trend(
     as_of: date,
     n: int,
     date_col: str = P.SERVICE_DATE,
+    lookback_weeks: int | None = None,
 ) -> DataFrame:
     """The last n weeks per series with growth on the week before.
 
     ``value`` is the measure that growth is computed for. The output keeps
     only rows with a comparable week before, so the baseline week is gone.
     """
-    recent = recent_weeks(rows, as_of, n, date_col)
+    recent = spine_rows(rows, as_of, n, date_col, lookback_weeks)
+    return week_growth(recent, dims, measures, value)
+
+
+def week_growth(
+    recent: DataFrame, dims: dict[str, Column | str], measures: Sequence[Column], value: str
+) -> DataFrame:
+    """The report of ``weekly_trend`` from the lines of the spine's weeks."""
     keyed, names = with_dims(recent, dims)
-    sums = keyed.groupBy("week", *names).agg(*measures)
-    series = sums.join(F.broadcast(week_spine(recent, n)), "week")
+    series = keyed.groupBy("week", "prev_week", *names).agg(*measures)
     grown = with_growth(series, names, value, F.col("prev_week"), "week")
     prev = "prev_revenue" if value == "revenue" else f"prev_{value}"
     shown = drop_baseline(grown, prev)
@@ -140,10 +166,13 @@ def weekly_kpi(
     dims: dict[str, Column | str] | None = None,
     date_col: str = P.SERVICE_DATE,
     active_only: bool = True,
+    phantom: str = rules.PHANTOM_CLIENT,
+    lookback_weeks: int | None = None,
 ) -> DataFrame:
     """The last n weeks of any measure, by any dimensions."""
     rows = P.period_rows(invoices, date_col=date_col, active_only=active_only)
-    trend = weekly_trend(rows, dims or {}, measure_columns([measure]), measure, as_of, n, date_col)
+    measures = measure_columns([measure], phantom)
+    trend = weekly_trend(rows, dims or {}, measures, measure, as_of, n, date_col, lookback_weeks)
     return trend.orderBy("sort_key", *(dims or {}))
 
 
@@ -190,12 +219,24 @@ def category_group_weekly(
     return _weekly_revenue_trend(P.period_rows(invoices), "category_group", group, as_of, n)
 
 
-def life_stage_weekly_trend(staged: DataFrame, as_of: date, n: int = 4) -> DataFrame:
-    """Weekly revenue and clients per species and life stage, over the view."""
-    rows = P.period_rows(staged).filter(F.col("life_stage").isNotNull())
-    measures = [MEASURES["revenue"]().alias("revenue"), F.countDistinct("client_id").alias("client_count")]
+def life_stage_weekly_trend(
+    invoices: DataFrame,
+    patients: DataFrame,
+    as_of: date,
+    n: int = 4,
+    stages: Mapping[str, rules.LifeStages] = rules.LIFE_STAGES,
+) -> DataFrame:
+    """Weekly revenue and clients per species and life stage.
+
+    The weeks are those of all invoices, so the patients are joined once, and
+    only to the lines of these weeks.
+    """
+    dated = P.period_rows(invoices)
+    recent = spine_rows(dated, as_of, n, P.SERVICE_DATE)
+    rows = staged_lines(recent, patients, stages=stages)
+    measures = [*measure_columns(["revenue"]), F.countDistinct("client_id").alias("client_count")]
     dims: dict[str, Column | str] = {"species": "patient_species", "life_stage": "life_stage"}
-    trend = weekly_trend(rows, dims, measures, "revenue", as_of, n)
+    trend = week_growth(rows, dims, measures, "revenue")
     return trend.orderBy("sort_key", "species", "life_stage")
 
 
@@ -211,12 +252,11 @@ def top_categories_weekly(
     The weekly sums are folded into one row per category, at most n + 1
     entries each; so ranking and output share one pass over the lines.
     """
-    recent = recent_weeks(P.period_rows(invoices), as_of, n, P.SERVICE_DATE)
+    recent = spine_rows(P.period_rows(invoices), as_of, n, P.SERVICE_DATE)
     keyed, _ = with_dims(recent, {"category": category})
-    sums = keyed.groupBy("week", "category").agg(
+    in_spine = keyed.groupBy("week", "prev_week", "category").agg(
         F.sum("total").alias("amount"), F.countDistinct("invoice_id").alias("invoice_count")
     )
-    in_spine = sums.join(F.broadcast(week_spine(recent, n)), "week")
     entry = F.struct("week", "prev_week", F.col("amount").cast("double").alias("revenue"), "invoice_count")
     best = (
         in_spine.groupBy("category")
@@ -359,15 +399,16 @@ def category_group_snapshot(
     return _ranked(P.period_rows(invoices, period), "category_group", group)
 
 
-def recent_months_rows(invoices: DataFrame, as_of: date, months: int) -> DataFrame:
-    """Lines since the same day n months ago; the first month may be partial."""
-    return P.period_rows(invoices, P.Period(P.months_back(as_of, months), None))
-
-
-def category_monthly_trend(invoices: DataFrame, as_of: date, n: int = 6) -> DataFrame:
-    """Monthly revenue and invoices per category name."""
+def category_monthly_trend(
+    invoices: DataFrame,
+    as_of: date,
+    n: int = 6,
+    complete_start: bool = False,
+    complete_end: bool = False,
+) -> DataFrame:
+    """Monthly revenue and invoices per category name; see ``recent_months``."""
     measures = measure_columns(["revenue", "invoice_count"])
-    rows = recent_months_rows(invoices, as_of, n)
+    rows = P.period_rows(invoices, P.recent_months(as_of, n, complete_start, complete_end))
     trend = monthly_series(rows, {"category": "plan_category_name"}, measures)
     return trend.orderBy("sort_key", "category")
 
@@ -377,10 +418,12 @@ def category_group_monthly(
     as_of: date,
     n: int = 6,
     group_rules: Sequence[rules.Rule] = rules.CATEGORY_GROUP_TREND_RULES,
+    complete_start: bool = False,
+    complete_end: bool = False,
 ) -> DataFrame:
-    """Monthly revenue per category group."""
+    """Monthly revenue per category group; see ``recent_months``."""
     group = C.category_group("plan_category_name", group_rules)
-    rows = recent_months_rows(invoices, as_of, n)
+    rows = P.period_rows(invoices, P.recent_months(as_of, n, complete_start, complete_end))
     trend = monthly_series(rows, {"category_group": group}, measure_columns(["revenue"]))
     return trend.orderBy("sort_key", F.desc("revenue"), "category_group")
 
@@ -412,18 +455,30 @@ def patient_count(invoices: DataFrame, period: P.Period | None = None) -> DataFr
     return rows.agg(*measure_columns(["patient_count"]))
 
 
-def customer_count(invoices: DataFrame, period: P.Period | None = None) -> DataFrame:
+def customer_count(
+    invoices: DataFrame, period: P.Period | None = None, phantom: str = rules.PHANTOM_CLIENT
+) -> DataFrame:
     """Distinct real clients; one row."""
     rows = P.period_rows(invoices, period, active_only=False) if period else invoices
-    return rows.agg(*measure_columns(["customer_count"]))
+    return rows.agg(*measure_columns(["customer_count"], phantom))
 
 
 def by_clinic(
-    invoices: DataFrame, measures: Sequence[str], period: P.Period | None = None
+    invoices: DataFrame,
+    measures: Sequence[str],
+    period: P.Period | None = None,
+    phantom: str = rules.PHANTOM_CLIENT,
 ) -> DataFrame:
-    """Any measures per clinic."""
-    rows = P.period_rows(invoices, period)
-    return rows.groupBy("clinic_id").agg(*measure_columns(measures)).orderBy("clinic_id")
+    """Any measures per clinic.
+
+    Lines are added up per clinic, invoice, client and patient first, so that
+    distinct counts do not multiply the lines.
+    """
+    keys = ["clinic_id", "invoice_id", "client_id", "patient_id"]
+    lines = P.period_rows(invoices, period).groupBy(*keys)
+    rows = lines.agg(F.sum("total").alias("total"), F.sum("quantity").alias("quantity"))
+    report = rows.groupBy("clinic_id").agg(*measure_columns(measures, phantom))
+    return report.orderBy("clinic_id")
 
 
 def clinic_revenue_with_zero(
@@ -440,9 +495,11 @@ def clinic_revenue_with_zero(
     return report.orderBy("clinic_id")
 
 
-def top_customers(invoices: DataFrame, period: P.Period, k: int = 10) -> DataFrame:
+def top_customers(
+    invoices: DataFrame, period: P.Period, k: int = 10, phantom: str = rules.PHANTOM_CLIENT
+) -> DataFrame:
     """The k real clients with the highest revenue."""
-    rows = P.exclude_phantom(P.period_rows(invoices, period))
+    rows = P.exclude_phantom(P.period_rows(invoices, period), phantom=phantom)
     spent = rows.groupBy(F.col("client_id").alias("customer_id")).agg(F.sum("total").alias("revenue"))
     best = spent.orderBy(F.desc("revenue"), "customer_id").limit(k)
     return best.select("customer_id", F.col("revenue").cast("double").alias("revenue"))

@@ -7,7 +7,7 @@ report itself is computed from those few rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -27,13 +27,13 @@ def _week_bucket(ws: date) -> Column:
     return F.when(ts >= F.lit(ws), F.lit(ws)).otherwise(C.week_start(ts))
 
 
-def _window_rows(fact: DataFrame, ws: date, we: date, prior_weeks: int) -> DataFrame:
+def window_rows(fact: DataFrame, ws: date, we: date, prior_weeks: int) -> DataFrame:
     start = P.weeks_back(ws, prior_weeks)
     rows = fact.filter(P.in_period(P.SERVICE_DATE, P.inclusive(start, we)))
     return rows.withColumn("week_bucket", _week_bucket(ws))
 
 
-def _week_rows(fact: DataFrame, ws: date, we: date) -> DataFrame:
+def week_rows(fact: DataFrame, ws: date, we: date) -> DataFrame:
     return fact.filter(P.in_period(P.SERVICE_DATE, P.inclusive(ws, we)))
 
 
@@ -60,9 +60,9 @@ def mean_of(value: Column) -> Column:
     return F.coalesce(F.sum(value).cast("double") / F.count(value), F.lit(0.0))
 
 
-def share_of_total(column: str) -> Column:
+def share_of_total(column: str, *within: str) -> Column:
     """Per cent of the column's total, over a report that is already aggregated."""
-    total = F.sum(column).over(W.partitionBy()).cast("double")
+    total = F.sum(column).over(W.partitionBy(*within)).cast("double")
     share = F.bround(F.col(column).cast("double") / total * 100, 1)
     return F.when(total != 0, share).otherwise(F.lit(0.0))
 
@@ -76,7 +76,7 @@ def _compare(
     prior_weeks: int,
     top_n: int | None = None,
 ) -> DataFrame:
-    rows = _window_rows(fact, ws, we, prior_weeks).withColumn("dim", dim)
+    rows = window_rows(fact, ws, we, prior_weeks).withColumn("dim", dim)
     weekly = (
         rows.filter(F.col("dim").isNotNull())
         .groupBy("dim", "week_bucket")
@@ -115,7 +115,7 @@ def total_sales(
     fact: DataFrame, ws: date, we: date, prior_weeks: int = PRIOR_WEEKS
 ) -> DataFrame:
     """Sales of the week, prior mean, variance and day coverage; one row."""
-    rows = _window_rows(fact, ws, we, prior_weeks)
+    rows = window_rows(fact, ws, we, prior_weeks)
     daily = rows.groupBy("week_bucket", F.to_date(P.SERVICE_DATE).alias("day")).agg(
         F.sum("total").alias("total")
     )
@@ -168,22 +168,31 @@ def invoice_count_by_species(
 
 
 def day_night_split(
-    fact: DataFrame, ws: date, we: date, prior_weeks: int = PRIOR_WEEKS
+    fact: DataFrame,
+    ws: date,
+    we: date,
+    prior_weeks: int = PRIOR_WEEKS,
+    hours: tuple[int, int] = rules.DAY_HOURS,
 ) -> DataFrame:
     """Revenue of day and night hours."""
-    compared = _compare(fact, C.time_band(P.SERVICE_DATE), F.sum("total"), ws, we, prior_weeks)
+    band = C.time_band(P.SERVICE_DATE, hours)
+    compared = _compare(fact, band, F.sum("total"), ws, we, prior_weeks)
     return _report(compared, "time_band", "revenue")
 
 
 def repeat_customers(
-    fact: DataFrame, prior_clients: DataFrame, ws: date, we: date
+    fact: DataFrame,
+    prior_clients: DataFrame,
+    ws: date,
+    we: date,
+    phantom: str = rules.PHANTOM_CLIENT,
 ) -> DataFrame:
     """Clients of the week and how many of them were known before; one row.
 
     Lines without a client count as one client. Both sides are distinct ids
     before they meet, so no client is hot in the join.
     """
-    rows = P.exclude_phantom(_week_rows(fact, ws, we), null_safe=True)
+    rows = P.exclude_phantom(week_rows(fact, ws, we), null_safe=True, phantom=phantom)
     known = prior_clients.select("client_id", F.lit(True).alias("known"))
     ids = rows.select("client_id").distinct().join(known, "client_id", "left")
     counts = ids.agg(
@@ -203,25 +212,29 @@ def repeat_customers(
 
 
 def _client_revenue(
-    fact: DataFrame, new_ids: DataFrame, ws: date, we: date, *dims: Column
+    fact: DataFrame, new_ids: DataFrame, ws: date, we: date, phantom: str, *dims: Column
 ) -> DataFrame:
     """The week's revenue per client, flagged new or not.
 
     Lines are added up per client before the join, so a client with very many
     lines is one row there.
     """
-    rows = P.exclude_phantom(_week_rows(fact, ws, we), null_safe=True)
+    rows = P.exclude_phantom(week_rows(fact, ws, we), null_safe=True, phantom=phantom)
     per_client = rows.groupBy("client_id", *dims).agg(F.sum("total").alias("total"))
     flag = new_ids.select("client_id", F.lit(True).alias("is_new"))
     return per_client.join(flag, "client_id", "left")
 
 
 def new_vs_existing_customers(
-    fact: DataFrame, new_ids: DataFrame, ws: date, we: date
+    fact: DataFrame,
+    new_ids: DataFrame,
+    ws: date,
+    we: date,
+    phantom: str = rules.PHANTOM_CLIENT,
 ) -> DataFrame:
     """Distinct clients and revenue by customer type and species bucket."""
     bucket = C.species_bucket("patient_species").alias("species")
-    per_client = _client_revenue(fact, new_ids, ws, we, bucket)
+    per_client = _client_revenue(fact, new_ids, ws, we, phantom, bucket)
     kind = F.when(F.col("is_new"), "New").otherwise("Existing")
     order = F.array_position(F.lit(list((*rules.MAIN_SPECIES, rules.OTHER_SPECIES))), F.col("species"))
     report = per_client.groupBy(kind.alias("customer_type"), "species").agg(
@@ -232,10 +245,14 @@ def new_vs_existing_customers(
 
 
 def new_vs_existing_revenue(
-    fact: DataFrame, new_ids: DataFrame, ws: date, we: date
+    fact: DataFrame,
+    new_ids: DataFrame,
+    ws: date,
+    we: date,
+    phantom: str = rules.PHANTOM_CLIENT,
 ) -> DataFrame:
     """Revenue of new clients; everything else counts as existing. One row."""
-    per_client = _client_revenue(fact, new_ids, ws, we)
+    per_client = _client_revenue(fact, new_ids, ws, we, phantom)
     zero = F.lit(0).cast("decimal(28,2)")
     sums = per_client.agg(
         F.coalesce(F.sum(F.when(F.col("is_new"), F.col("total"))), zero).alias("n"),
@@ -263,13 +280,18 @@ def new_vs_existing_revenue(
 
 
 def life_stage_metrics(
-    fact: DataFrame, patients: DataFrame, ws: date, we: date
+    fact: DataFrame,
+    patients: DataFrame,
+    ws: date,
+    we: date,
+    stages: Mapping[str, rules.LifeStages] = rules.LIFE_STAGES,
 ) -> DataFrame:
     """Revenue and distinct invoices by species and life stage."""
     species = F.col("patient_species")
-    rows = _week_rows(fact, ws, we).filter(species.isin(list(rules.LIFE_STAGES)))
+    rows = week_rows(fact, ws, we).filter(species.isin(list(stages)))
     age = C.age_months_approx("birth_date", P.SERVICE_DATE)
-    staged = rows.join(patients, "patient_id").withColumn("life_stage", C.life_stage(species, age))
+    stage = C.life_stage(species, age, stages)
+    staged = rows.join(patients, "patient_id").withColumn("life_stage", stage)
     report = staged.groupBy(species.alias("species"), "life_stage").agg(
         F.bround(F.sum("total").cast("double"), 0).alias("revenue"),
         F.countDistinct("invoice_id").alias("invoice_count"),

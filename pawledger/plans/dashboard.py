@@ -6,9 +6,11 @@ from collections.abc import Collection, Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from pawledger.functions import columns as C
 from pawledger.functions import periods as P
 from pawledger.functions import rules
 from pawledger.operators import inventory, weekly
@@ -49,34 +51,43 @@ def weekly_dashboard(
     phantom_patterns: Sequence[str] = rules.PHANTOM_STOCK_PATTERNS,
     only: Collection[str] | None = None,
     persist: bool = False,
+    phantom: str = rules.PHANTOM_CLIENT,
+    hours: tuple[int, int] = rules.DAY_HOURS,
+    stages: Mapping[str, rules.LifeStages] = rules.LIFE_STAGES,
 ) -> dict[str, DataFrame]:
     """The metrics of a week as lazy DataFrames over one filtered fact.
 
-    ``only`` names the metrics to build, by default all of them. With ``persist`` the fact, a few weeks of seven columns, is kept between
-    the metrics' actions; it is returned as ``_fact`` for ``unpersist``.
+    ``only`` names the metrics to build, by default all of them. With
+    ``persist`` the fact, a few weeks of seven columns, is kept between the
+    metrics' actions; it is returned as ``_fact`` for ``unpersist``.
     """
     fact = week_fact(invoices, ws, we, prior_weeks)
     if persist:
         fact = fact.persist(StorageLevel.MEMORY_AND_DISK)
     end = P.inclusive(ws, we).end
-    new_ids = scans.new_clients(clients, ws, end)
-    known = scans.prior_clients(clients, invoices, ws)
+    new_ids = scans.new_clients(clients, ws, end, phantom)
+    asked = scans.scan_invoices(invoices, ws, end).select("client_id")
+    known = scans.prior_clients(clients, invoices, ws, phantom, among=asked)
     births = scans.scan_patients(patients)
     stock = scans.scan_stocks(stocks, phantom_patterns)
     week = (ws, we)
     builders = {
         "total_sales": lambda: weekly.total_sales(fact, *week, prior_weeks),
-        "repeat_customers": lambda: weekly.repeat_customers(fact, known, *week),
+        "repeat_customers": lambda: weekly.repeat_customers(fact, known, *week, phantom),
         "species_sales": lambda: weekly.species_sales(fact, *week, prior_weeks),
         "category_top": lambda: weekly.category_top_n(fact, *week, top_n, prior_weeks),
         "invoice_count_by_species": lambda: weekly.invoice_count_by_species(
             fact, *week, prior_weeks
         ),
-        "day_night_split": lambda: weekly.day_night_split(fact, *week, prior_weeks),
-        "new_vs_existing_customers": lambda: weekly.new_vs_existing_customers(fact, new_ids, *week),
-        "new_vs_existing_revenue": lambda: weekly.new_vs_existing_revenue(fact, new_ids, *week),
+        "day_night_split": lambda: weekly.day_night_split(fact, *week, prior_weeks, hours),
+        "new_vs_existing_customers": lambda: weekly.new_vs_existing_customers(
+            fact, new_ids, *week, phantom
+        ),
+        "new_vs_existing_revenue": lambda: weekly.new_vs_existing_revenue(
+            fact, new_ids, *week, phantom
+        ),
         "inventory_value": lambda: inventory.inventory_value(stock),
-        "life_stage_metrics": lambda: weekly.life_stage_metrics(fact, births, *week),
+        "life_stage_metrics": lambda: weekly.life_stage_metrics(fact, births, *week, stages),
     }
     metrics = {name: builders[name]() for name in builders if only is None or name in only}
     if persist:
@@ -86,7 +97,7 @@ def weekly_dashboard(
 
 def _section(
     df: DataFrame,
-    section: str,
+    section: Column | str,
     label: Column,
     this_week: str,
     sub_label: Column | None = None,
@@ -103,7 +114,7 @@ def _section(
         return F.coalesce(c, F.lit(0.0)) / 100
 
     return df.select(
-        F.lit(section).alias("section"),
+        (F.lit(section) if isinstance(section, str) else section).alias("section"),
         label.alias("label"),
         (F.lit("") if sub_label is None else sub_label).alias("sub_label"),
         F.col(this_week).cast("double").alias("this_week"),
@@ -178,6 +189,191 @@ def tidy_dashboard(metrics: Mapping[str, DataFrame]) -> DataFrame:
     return tidy
 
 
+def tidy_week(
+    invoices: DataFrame,
+    clients: DataFrame,
+    patients: DataFrame,
+    stocks: DataFrame,
+    ws: date,
+    we: date,
+    prior_weeks: int = weekly.PRIOR_WEEKS,
+    top_n: int = 5,
+    phantom_patterns: Sequence[str] = rules.PHANTOM_STOCK_PATTERNS,
+    phantom: str = rules.PHANTOM_CLIENT,
+    hours: tuple[int, int] = rules.DAY_HOURS,
+    stages: Mapping[str, rules.LifeStages] = rules.LIFE_STAGES,
+) -> DataFrame:
+    """The rows of ``tidy_dashboard`` with two scans of the fact.
+
+    One scan adds up the compared weeks by grouping sets, the other the week
+    itself by client and life stage; all else works on report rows.
+    """
+    fact = week_fact(invoices, ws, we, prior_weeks)
+    end = P.inclusive(ws, we).end
+    stock = _section(
+        inventory.inventory_value(scans.scan_stocks(stocks, phantom_patterns)),
+        "Inventory",
+        F.col("inventory_type"),
+        "stock_value",
+        share="pct_of_total",
+    )
+    new_ids = scans.new_clients(clients, ws, end, phantom)
+    births = scans.scan_patients(patients)
+    sections = [
+        _compared_sections(fact, ws, we, prior_weeks, top_n, hours),
+        _client_sections(fact, new_ids, births, ws, we, phantom, stages),
+    ]
+    tidy = stock
+    for section in sections:
+        tidy = tidy.unionByName(section)
+    return tidy
+
+
+def _entries(rows: DataFrame, *entries: Column) -> DataFrame:
+    """One row per non-NULL struct."""
+    return rows.select(F.inline(F.array_compact(F.array(*entries))))
+
+
+def _seed(df: DataFrame, **values: Column) -> DataFrame:
+    """One constant row with the columns of a table, so that a section is never missing."""
+    cells = [values[f.name].cast(f.dataType).alias(f.name) for f in df.schema.fields]
+    return df.sparkSession.range(1).select(*cells)
+
+
+def _compared_sections(
+    fact: DataFrame, ws: date, we: date, prior_weeks: int, top_n: int, hours: tuple[int, int]
+) -> DataFrame:
+    rows = weekly.window_rows(fact, ws, we, prior_weeks).select(
+        "week_bucket",
+        F.col("patient_species").alias("species"),
+        "invoice_id",
+        F.col("plan_category_name").alias("category"),
+        C.time_band(P.SERVICE_DATE, hours).alias("band"),
+        F.to_date(P.SERVICE_DATE).alias("day"),
+        "total",
+    )
+    sets = [["species", "invoice_id"], ["category"], ["band"], ["day"]]
+    keys = ["week_bucket", *(c for s in sets for c in s)]
+    sums = rows.groupingSets([["week_bucket", *s] for s in sets], *keys).agg(
+        F.sum("total").alias("total"),
+        *[F.grouping(c).alias(f"no_{c}") for c in ("species", "category", "band", "day")],
+    )
+
+    def entry(column: str, section: str, label: Column, value: Column) -> Column:
+        fields = F.struct(
+            "week_bucket",
+            F.lit(section).alias("section"),
+            label.alias("label"),
+            value.cast("decimal(28,2)").alias("value"),
+        )
+        return F.when((F.col(f"no_{column}") == 0) & label.isNotNull(), fields)
+
+    one, total = F.lit(1), F.col("total")
+    entries = _entries(
+        sums,
+        entry("species", "Species", F.col("species"), total),
+        F.when(F.col("invoice_id").isNotNull(), entry("species", "Bills", F.col("species"), one)),
+        entry("category", "Category", F.col("category"), total),
+        entry("band", "Day/Night", F.col("band"), total),
+        entry("day", "Revenue", F.lit("Total Sales"), total),
+    )
+    zero = _seed(
+        entries,
+        week_bucket=F.lit(ws),
+        section=F.lit("Revenue"),
+        label=F.lit("Total Sales"),
+        value=F.lit(0),
+    )
+    weekly_sums = entries.unionByName(zero).groupBy("section", "label", "week_bucket").agg(
+        F.sum("value").alias("value")
+    )
+    compared = weekly.prior_weekly_avg(weekly_sums, ["section", "label"], ws)
+    best = W.partitionBy("section").orderBy(F.desc("has_current"), F.desc("this_week"), "label")
+    ranked = compared.withColumn("rank", F.row_number().over(best))
+    shown = ranked.filter(
+        (F.col("section") != "Category") | (F.col("has_current") & (F.col("rank") <= top_n))
+    )
+    section = F.col("section")
+    share = weekly.share_of_total("this_week", "section")
+    prior = F.when(section == "Bills", F.bround("prior_avg", 1)).otherwise(F.bround("prior_avg", 0))
+    report = shown.select(
+        "section",
+        "label",
+        F.bround(F.col("this_week").cast("double"), 0).alias("this_week"),
+        prior.alias("prior"),
+        C.growth_pct("this_week", "prior_avg", half_even=True).alias("growth"),
+        F.when(section == "Revenue", F.lit(100.0)).otherwise(share).alias("share"),
+    )
+    return _section(
+        report, section, F.col("label"), "this_week", prior="prior", growth="growth", share="share"
+    )
+
+
+def _client_sections(
+    fact: DataFrame,
+    new_ids: DataFrame,
+    births: DataFrame,
+    ws: date,
+    we: date,
+    phantom: str,
+    stages: Mapping[str, rules.LifeStages],
+) -> DataFrame:
+    """The week by life stage and by customer type, over one scan."""
+    species = F.col("patient_species")
+    aged = weekly.week_rows(fact, ws, we).join(births, "patient_id", "left")
+    age = C.age_months_approx("birth_date", P.SERVICE_DATE)
+    stage = F.when(F.col("birth_date").isNotNull(), C.life_stage(species, age, stages))
+    sums = aged.groupBy("client_id", species.alias("species"), stage.alias("stage")).agg(
+        F.sum("total").alias("total")
+    )
+    flag = new_ids.select("client_id", F.lit(True).alias("is_new"))
+    flagged = sums.join(flag, "client_id", "left")
+    kind = F.when(F.col("is_new"), "New").otherwise("Existing")
+
+    def entry(section: str, label: Column, sub_label: Column) -> Column:
+        return F.struct(
+            F.lit(section).alias("section"),
+            label.alias("label"),
+            sub_label.alias("sub_label"),
+            F.col("total").alias("value"),
+        )
+
+    staged = F.col("species").isin(list(stages)) & F.col("stage").isNotNull()
+    client = ~F.col("client_id").eqNullSafe(phantom)
+    entries = _entries(
+        flagged,
+        F.when(staged, entry("Life Stage", F.col("species"), F.col("stage"))),
+        F.when(client, entry("Customers", kind, F.lit(""))),
+    )
+    for label in ("New", "Existing"):
+        zero = _seed(
+            entries,
+            section=F.lit("Customers"),
+            label=F.lit(label),
+            sub_label=F.lit(""),
+            value=F.lit(0),
+        )
+        entries = entries.unionByName(zero)
+    report = entries.groupBy("section", "label", "sub_label").agg(F.sum("value").alias("value"))
+    customers = F.col("section") == "Customers"
+    total = F.sum("value").over(W.partitionBy("section")).cast("double")
+    part = F.bround(100.0 * F.col("value").cast("double") / total, 1)
+    report = report.withColumns(
+        {
+            "this_week": F.bround(F.col("value").cast("double"), 0),
+            "pct": F.when(customers, F.when(total != 0, part).otherwise(0.0)).otherwise(0.0),
+        }
+    )
+    return _section(
+        report,
+        F.col("section"),
+        F.col("label"),
+        "this_week",
+        sub_label=F.col("sub_label"),
+        share="pct",
+    )
+
+
 def kpi_headline(metrics: Mapping[str, DataFrame]) -> DataFrame:
     """The header figures; one row.
 
@@ -232,3 +428,70 @@ def subtotal(
         dims[0], F.when(F.col("is_total"), label).otherwise(F.col(dims[0]))
     )
     return named.select(*report.columns, "is_total").orderBy("is_total", F.desc(sums[0])).drop("is_total")
+
+
+def table_totals(metrics: Mapping[str, DataFrame], top_n: int = 5) -> dict[str, DataFrame]:
+    """The dashboard's tables with their total rows.
+
+    Shares of a whole table add up to 100; those of the best categories have
+    no total. The customers' total counts the week's clients once, so it comes
+    from ``repeat_customers`` and not from the rows.
+    """
+    whole = F.lit(100.0)
+    revenue = metrics["new_vs_existing_revenue"]
+    segments = revenue.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(f"{kind} Customers").alias("segment"),
+                        F.col(f"{kind.lower()}_revenue").alias("revenue"),
+                        F.col(f"{kind.lower()}_pct").alias("share"),
+                    )
+                    for kind in ("New", "Existing")
+                ],
+                F.struct(
+                    F.lit("Total").alias("segment"),
+                    F.col("total_revenue").alias("revenue"),
+                    whole.alias("share"),
+                ),
+            )
+        )
+    )
+    customers = metrics["new_vs_existing_customers"]
+    everyone = metrics["repeat_customers"].select(
+        F.lit("Total").alias("customer_type"), F.col("total_customers").alias("client_count")
+    )
+    return {
+        "species_sales": subtotal(
+            metrics["species_sales"], ["species"], ["this_week_revenue"], {"pct_contribution": whole}
+        ),
+        "category_top": subtotal(
+            metrics["category_top"],
+            ["category"],
+            ["this_week_revenue"],
+            label=f"Total (Top {top_n})",
+        ),
+        "invoice_count_by_species": subtotal(
+            metrics["invoice_count_by_species"],
+            ["species"],
+            ["bill_count"],
+            {"pct_contribution": whole},
+        ),
+        "day_night_split": subtotal(
+            metrics["day_night_split"], ["time_band"], ["revenue"], {"pct_contribution": whole}
+        ),
+        "life_stage_metrics": subtotal(
+            metrics["life_stage_metrics"],
+            ["species", "life_stage"],
+            ["revenue", "invoice_count"],
+        ),
+        "inventory_value": subtotal(
+            metrics["inventory_value"],
+            ["inventory_type"],
+            ["stock_value"],
+            {"pct_of_total": whole},
+        ),
+        "new_vs_existing_revenue": segments,
+        "new_vs_existing_customers": customers.unionByName(everyone, allowMissingColumns=True),
+    }

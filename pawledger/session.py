@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a scratch one only in local mode."""
+    """Use the shared folder that the session names; there is no other."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get(CHECKPOINT_DIR, None) or context.getConf().get(CHECKPOINT_DIR)
     if not shared:
-        if not context.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
-        shared = tempfile.mkdtemp(prefix="checkpoints-")
+        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
     context.setCheckpointDir(shared)
 
 

@@ -53,12 +53,22 @@ def scan_patients(patients: DataFrame) -> DataFrame:
 
 
 def prior_clients(
-    clients: DataFrame, invoices: DataFrame, before: date, phantom: str = rules.PHANTOM_CLIENT
+    clients: DataFrame,
+    invoices: DataFrame,
+    before: date,
+    phantom: str = rules.PHANTOM_CLIENT,
+    among: DataFrame | None = None,
 ) -> DataFrame:
-    """Ids of clients registered or served before a date."""
+    """Ids of clients registered or served before a date.
+
+    ``among`` holds the ids that are asked for; then the history meets them
+    before it is made distinct.
+    """
     registered = clients.filter(P.in_range("first_activity", end=before))
     served = P.active(invoices).filter(P.in_range(P.SERVICE_DATE, end=before))
     ids = registered.select("client_id").union(served.select("client_id"))
+    if among is not None:
+        ids = ids.join(among.select("client_id").distinct(), "client_id", "left_semi")
     return P.exclude_phantom(ids, phantom=phantom).distinct()
 
 

@@ -23,17 +23,17 @@ def result_step(
 ) -> DataFrame:
     """One log step for a finished result: row count, columns, first rows.
 
-    Only the preview rows are gathered; the count is an ordinary aggregate.
+    Count and preview come from one pass: each task keeps its first rows, and
+    the first of those, in the order of the tasks, are shown.
     """
-    preview = result.limit(PREVIEW_ROWS).select(
-        F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")
-    )
-    rows = preview.agg(F.collect_list("row").alias("data_preview"))
-    count = result.agg(F.count(F.lit(1)).alias("row_count"))
-    merged = rows.unionByName(count, allowMissingColumns=True).agg(
-        F.max("row_count").alias("row_count"),
-        F.first("data_preview", ignorenulls=True).alias("data_preview"),
-    )
+    row = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    numbered = result.select(row.alias("row"), F.monotonically_increasing_id().alias("number"))
+    # The lower 33 bits count the rows of a task.
+    early = F.col("number").bitwiseAND((1 << 33) - 1) < PREVIEW_ROWS
+    kept = F.collect_list(F.when(early, F.struct("number", "row")))
+    merged = numbered.agg(F.count(F.lit(1)).alias("row_count"), kept.alias("kept"))
+    first = F.slice(F.sort_array("kept"), 1, PREVIEW_ROWS)
+    merged = merged.select("row_count", F.transform(first, lambda k: k["row"]).alias("data_preview"))
     return merged.select(
         F.lit(step_id).alias("step_id"),
         F.lit(description).alias("description"),

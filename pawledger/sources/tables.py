@@ -22,17 +22,29 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 INVOICES = _struct(
     invoice_id=T.StringType(),
+    sales_id=T.StringType(),
     invoice_date=T.TimestampNTZType(),
     performed_date=T.TimestampNTZType(),
+    invoice_type=T.StringType(),
     invoice_amount=MONEY,
     cancelled=T.IntegerType(),
     client_id=T.StringType(),
+    client_unique_id=T.StringType(),
     patient_id=T.StringType(),
     patient_species=T.StringType(),
+    patient_breed=T.StringType(),
+    patient_gender=T.StringType(),
     plan_item_id=T.StringType(),
     plan_item_name=T.StringType(),
+    plan_category_id=T.StringType(),
     plan_category_name=T.StringType(),
+    plan_sub_category_id=T.StringType(),
+    plan_sub_category_name=T.StringType(),
     quantity=QUANTITY,
+    purchase_cost=MONEY,
+    cost=MONEY,
+    discount=MONEY,
+    tax_amount=MONEY,
     total=MONEY,
     clinic_id=T.StringType(),
 )
@@ -42,15 +54,42 @@ STOCKS = _struct(
     stock_name=T.StringType(),
     plan_item_id=T.StringType(),
     plan_item_name=T.StringType(),
+    plan_category_id=T.StringType(),
     plan_category_name=T.StringType(),
+    plan_sub_category_id=T.StringType(),
+    plan_sub_category_name=T.StringType(),
     onhand_qty=QUANTITY,
+    threshold_qty=QUANTITY,
+    reorder_qty=QUANTITY,
     purchase_cost=MONEY,
+    sales_markup=MONEY,
+    orderable=T.StringType(),
+    bin_id=T.StringType(),
+    bin_name=T.StringType(),
+    bin_location=T.StringType(),
     clinic_id=T.StringType(),
 )
 PATIENTS = _struct(
-    patient_id=T.StringType(), client_id=T.StringType(), birth_date=T.DateType()
+    patient_id=T.StringType(),
+    patient_name=T.StringType(),
+    client_id=T.StringType(),
+    clinic_id=T.StringType(),
+    birth_date=T.DateType(),
+    first_activity=T.TimestampNTZType(),
+    last_activity=T.TimestampNTZType(),
+    status=T.StringType(),
+)
+CLIENTS = _struct(
+    client_id=T.StringType(),
+    first_name=T.StringType(),
+    last_name=T.StringType(),
+    city=T.StringType(),
+    state=T.StringType(),
+    first_activity=T.TimestampNTZType(),
+    last_activity=T.TimestampNTZType(),
+    status=T.StringType(),
+    clinic_id=T.StringType(),
 )
-CLIENTS = _struct(client_id=T.StringType(), first_activity=T.TimestampNTZType())
 PAYMENTS = _struct(
     payment_id=T.StringType(),
     invoice_id=T.StringType(),
@@ -59,8 +98,15 @@ PAYMENTS = _struct(
     payment_amount=MONEY,
     payment_type_name=T.StringType(),
     is_return=T.IntegerType(),
+    is_membership=T.IntegerType(),
+)
+CLINIC = _struct(
+    clinic_id=T.StringType(),
+    clinic_name=T.StringType(),
+    clinic_city=T.StringType(),
+    clinic_state=T.StringType(),
+    currency=T.StringType(),
 )
-CLINIC = _struct(clinic_id=T.StringType(), clinic_name=T.StringType())
 
 SQL_STEP = _struct(
     step_id=T.IntegerType(),
@@ -95,30 +141,62 @@ SCHEMAS = {
 }
 
 
+# Formats whose files name and type their own columns.
+TYPED_FORMATS = ("parquet", "orc", "avro", "jdbc")
+SPLIT = {"partitionColumn", "lowerBound", "upperBound", "numPartitions"}
+
+
 def reader_options(name: str, cfg: Mapping[str, str]) -> tuple[str, dict[str, str]]:
     """Format and options of a source.
 
-    For JDBC the table name defaults to the logical name, and the read is
-    split by ``partitionColumn`` with its bounds, as the Spark source expects.
+    For JDBC the table name defaults to the logical name, and the read has to
+    be split by ``partitionColumn`` with its bounds; ``single_connection``
+    set to ``true`` opts out, for small tables.
     """
     options = dict(cfg)
     fmt = options.pop("format", "parquet")
+    options.pop("more_columns", None)
     if fmt == "jdbc":
         options.setdefault("dbtable", name)
-        split = {"partitionColumn", "lowerBound", "upperBound", "numPartitions"}
-        given = split & options.keys()
-        if given and given != split:
-            raise ValueError(f"a partitioned JDBC read needs all of {sorted(split)}")
+        options.setdefault("fetchsize", "10000")
+        options.setdefault("preferTimestampNTZ", "true")
+        single = options.pop("single_connection", "false").lower() == "true"
+        if not (SPLIT <= options.keys() or single and not SPLIT & options.keys()):
+            raise ValueError(f"a JDBC read needs {sorted(SPLIT)}, or single_connection")
     elif "path" not in options:
         raise ValueError(f"source {name!r} needs a path")
     return fmt, options
 
 
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Known columns in their types, missing ones as NULL, unknown ones as they are.
+
+    Only columns of another type are cast, so that filters on the others still
+    reach the source.
+    """
+    found = {f.name.lower(): f for f in df.schema.fields}
+    known = []
+    for field in schema.fields:
+        own = found.pop(field.name.lower(), None)
+        if own is None:
+            known.append(F.lit(None).cast(field.dataType).alias(field.name))
+        elif own.dataType == field.dataType:
+            known.append(F.col(own.name).alias(field.name))
+        else:
+            known.append(F.col(own.name).cast(field.dataType).alias(field.name))
+    return df.select(*known, *[F.col(f.name) for f in found.values()])
+
+
 def read_table(spark: SparkSession, name: str, cfg: Mapping[str, str]) -> DataFrame:
-    """A logical table with its fixed schema."""
+    """A logical table with its known columns, and all others the source has.
+
+    Text formats have no types of their own; ``more_columns`` names their
+    unknown columns as DDL.
+    """
     schema = SCHEMAS[name]
     fmt, options = reader_options(name, cfg)
-    if fmt == "jdbc":
-        df = spark.read.format(fmt).options(**options).load()
-        return df.select([F.col(f.name).cast(f.dataType) for f in schema.fields])
-    return spark.read.format(fmt).schema(schema).options(**options).load()
+    reader = spark.read.format(fmt).options(**options)
+    if fmt in TYPED_FORMATS:
+        return conform(reader.load(), schema)
+    more = T.StructType.fromDDL(cfg["more_columns"]).fields if cfg.get("more_columns") else []
+    return reader.schema(T.StructType([*schema.fields, *more])).load()

@@ -5,26 +5,59 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pawledger.functions import columns as C
 from pawledger.functions import periods as P
 from pawledger.functions import rules
 
 
+# Commands whose parsed plans have these names read nothing but the catalog or a plan.
+SHOWS = ("Show", "Describe", "Explain")
+
+
 def invoice_life_stage(
-    invoices: DataFrame, patients: DataFrame, date_col: str = P.SERVICE_DATE
+    invoices: DataFrame,
+    patients: DataFrame,
+    date_col: str = P.SERVICE_DATE,
+    stages: Mapping[str, rules.LifeStages] = rules.LIFE_STAGES,
 ) -> DataFrame:
     """Every invoice line with birth date, age at the visit and life stage.
 
     A line without a known patient keeps its revenue and gets NULLs. Patients
     are unique, so the fact is the only side that can be skewed and the
-    adaptive skew join may split it.
+    adaptive skew join may split it. Lines without a patient id are kept out of
+    the join, where they would all meet in one task.
     """
     births = patients.select("patient_id", "birth_date")
-    joined = invoices.join(births, "patient_id", "left")
-    aged = joined.withColumn("age_months_at_visit", C.age_months("birth_date", date_col))
-    stage = C.life_stage("patient_species", "age_months_at_visit")
-    return aged.withColumn("life_stage", stage)
+    known = invoices.filter(F.col("patient_id").isNotNull()).join(births, "patient_id", "left")
+    columns = [*invoices.columns, "birth_date"]
+    unknown = invoices.filter(F.col("patient_id").isNull())
+    unknown = unknown.withColumn("birth_date", F.lit(None).cast(births.schema["birth_date"].dataType))
+    joined = known.select(*columns).union(unknown.select(*columns))
+    return with_stage(joined, date_col, stages)
+
+
+def with_stage(
+    aged: DataFrame, date_col: str, stages: Mapping[str, rules.LifeStages]
+) -> DataFrame:
+    """Age in months and life stage at the visit, from the birth date."""
+    rows = aged.withColumn("age_months_at_visit", C.age_months("birth_date", date_col))
+    stage = C.life_stage("patient_species", "age_months_at_visit", stages)
+    return rows.withColumn("life_stage", stage)
+
+
+def staged_lines(
+    invoices: DataFrame,
+    patients: DataFrame,
+    date_col: str = P.SERVICE_DATE,
+    stages: Mapping[str, rules.LifeStages] = rules.LIFE_STAGES,
+) -> DataFrame:
+    """Only the lines that have a life stage: an inner join on few species."""
+    births = patients.filter(F.col("birth_date").isNotNull()).select("patient_id", "birth_date")
+    staged = invoices.filter(F.col("patient_species").isin(list(stages)))
+    rows = with_stage(staged.join(births, "patient_id"), date_col, stages)
+    return rows.filter(F.col("life_stage").isNotNull())
 
 
 def category_normalized(
@@ -53,10 +86,33 @@ def register_views(
 def ask(spark: SparkSession, sql: str) -> DataFrame:
     """Result of one read-only statement over the registered views.
 
-    NULL numbers come back as zero, as in every ad-hoc report.
+    The text is parsed before anything runs: a statement that is a command or an
+    insert anywhere is refused. NULL numbers come back as zero, as in every
+    ad-hoc report.
     """
     words = sql.split(None, 1)
     first = words[0].upper() if words else ""
-    if first not in rules.READ_ONLY_STATEMENTS:
+    if first not in rules.READ_ONLY_STATEMENTS or not _only_reads(spark, sql):
         raise ValueError(f"only {', '.join(rules.READ_ONLY_STATEMENTS)} are permitted")
     return spark.sql(sql).na.fill(0)
+
+
+def _only_reads(spark: SparkSession, sql: str) -> bool:
+    """True if Spark's parser finds a query, or a command that only shows or explains."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    if plan.getClass().getSimpleName().startswith(SHOWS):
+        return True
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    loader = plan.getClass().getClassLoader()
+    classes = spark._jvm.java.lang.Class
+    writers = [
+        classes.forName(logical + name, True, loader) for name in ("Command", "ParsedStatement")
+    ]
+    nodes = [plan]
+    while nodes:
+        node = nodes.pop()
+        if any(writer.isInstance(node) for writer in writers):
+            return False
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return True

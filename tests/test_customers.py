@@ -146,9 +146,10 @@ def test_species_mix_counts_clients(make):
 def test_all_six_life_stages_are_listed(make):
     lines = [line("1", "a", "2024-05-02", 10, patient_id="p"), line("1", "b", "2024-05-02", 5, patient_id="x")]
     patients = make("patients", [{"patient_id": "p", "birth_date": "2023-06-01"}])
+    lines.append(line("1", "c", "2024-05-02", 3, patient_id=None))
     staged = views.invoice_life_stage(make("invoices", lines), patients)
-    assert sorted(r["total"] for r in staged.collect()) == [5, 10]  # unknown patients stay
-    report = lifestage.life_stage_snapshot(staged, date(2024, 5, 10))
+    assert sorted(r["total"] for r in staged.collect()) == [3, 5, 10]  # unknown patients stay
+    report = lifestage.life_stage_snapshot(make("invoices", lines), patients, date(2024, 5, 10))
     got = rows(report)
     assert [r[0] for r in got] == [
         "Canine Puppy",

@@ -10,7 +10,7 @@ import pytest
 
 from conftest import SMALL
 from pawledger.checks import queries as registry
-from pawledger.operators import customers, trends, weekly
+from pawledger.operators import customers, lifestage, trends, weekly
 from pawledger.plans import dashboard
 from pawledger.sources import tables
 
@@ -46,13 +46,58 @@ def test_week_scan_is_pushed_down_and_pruned(stored):
 
 
 def test_month_and_trend_filters_are_pushed_down(stored):
-    for df in (
-        trends.species_for_month(stored, 2024, 1),
-        trends.weekly_species_trend(stored, date(2024, 3, 1)),
-        trends.top_categories_weekly(stored, date(2024, 3, 1)),
+    as_of = date(2024, 3, 1)
+    for df, bound in (
+        (trends.species_for_month(stored, 2024, 1), "GreaterThanOrEqual(performed_date"),
+        (trends.weekly_species_trend(stored, as_of), "LessThan(performed_date,2024-03-02T00:00)"),
+        (trends.top_categories_weekly(stored, as_of), "LessThan(performed_date,2024-03-02T00:00)"),
+        (trends.weekly_species_revenue(stored, as_of), "GreaterThanOrEqual(performed_date"),
     ):
         for pushed in re.findall(r"PushedFilters: (.*)", plan(df)):
-            assert "GreaterThanOrEqual(performed_date" in pushed
+            assert bound in pushed
+
+
+def test_the_spine_reads_only_dates(stored):
+    text = plan(trends.weekly_species_trend(stored, date(2024, 3, 1), n=4))
+    schemas = re.findall(r"ReadSchema: struct<(.*)>", text)
+    columns = [{c.split(":")[0] for c in re.split(r",(?!\d)", s)} for s in schemas]
+    assert {"cancelled", "performed_date"} in columns
+
+
+@pytest.fixture
+def patients(make, spark, tmp_path):
+    make("patients", [{"patient_id": "p", "birth_date": "2020-01-01"}]).write.parquet(str(tmp_path / "p"))
+    return tables.read_table(spark, "patients", {"path": str(tmp_path / "p")})
+
+
+def test_long_form_reads_the_fact_twice(spark, make, stored, patients):
+    tidy = dashboard.tidy_week(
+        stored, make("clients", []), patients, make("stocks", []), date(2024, 1, 22), date(2024, 1, 28)
+    )
+    schemas = re.findall(r"ReadSchema: struct<(.*)>", plan(tidy))
+    assert len([s for s in schemas if "performed_date" in s]) == 2
+
+
+def test_patients_are_joined_once(stored, patients):
+    text = plan(trends.life_stage_weekly_trend(stored, patients, date(2024, 3, 1)))
+    assert len([s for s in re.findall(r"ReadSchema: struct<(.*)>", text) if "birth_date" in s]) == 1
+
+
+def test_distinct_counts_do_not_multiply_lines(stored, patients):
+    for df in (
+        trends.by_clinic(stored, ["revenue", "invoice_count", "customer_count"]),
+        lifestage.life_stage_snapshot(stored, patients, date(2024, 3, 1)),
+    ):
+        text = plan(df)
+        above, _, below = text[: text.index("\n\n")].partition("Expand")
+        assert "HashAggregate" in below and "Exchange" in below
+
+
+def test_history_meets_the_new_clients_first(stored, make):
+    clients = make("clients", [])
+    text = plan(customers.new_customer_species_trend(stored, clients, date(2024, 3, 1)))
+    tree = text[: text.index("\n\n")]
+    assert "LeftSemi" in text and tree.rindex("HashAggregate") < tree.rindex("Scan parquet")
 
 
 def test_spine_is_a_bounded_broadcast(stored):

@@ -37,9 +37,10 @@ def test_a_folder_already_set_stays():
     assert session.sparkContext.current == "/set"
 
 
-def test_no_machine_local_folder_on_a_cluster():
+@pytest.mark.parametrize("master", ["spark://host", "local[4]"])
+def test_no_folder_of_its_own(master):
     with pytest.raises(RuntimeError):
-        ensure_checkpoint_dir(fake("spark://host"))
+        ensure_checkpoint_dir(fake(master))
 
 
 def test_materialize_keeps_rows(spark):

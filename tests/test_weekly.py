@@ -254,3 +254,52 @@ def test_whole_dashboard(make):
     )
     assert rows(table) == [("Existing", "Canine", 1, 10.0), ("Total", None, 1, 10.0)]
     metrics["_fact"].unpersist()
+
+
+def test_one_pass_long_form_equals_the_metrics(make):
+    """Also on an empty week, on ties, and on lines without a dimension."""
+    rng = random.Random(4)
+    species = ["Canine", "Feline", "Rabbit", None]
+    lines = []
+    for k in range(400):
+        when = datetime(2023, 12, 25) + timedelta(minutes=rng.randrange(60 * 24 * 40))
+        lines.append(
+            line(
+                str(when),
+                rng.choice([10, 10, 20, 35, None]),
+                invoice_id=rng.choice([f"i{k % 90}", None]),
+                client_id=rng.choice(["1", "2", "13", None, str(k % 30)]),
+                patient_id=rng.choice([f"p{k % 20}", None]),
+                patient_species=rng.choice(species),
+                plan_category_name=rng.choice(["a", "b", "c", "d", "e", "f", "g", None]),
+            )
+        )
+    patients = make("patients", [{"patient_id": f"p{k}", "birth_date": "2020-01-01" if k % 5 else None} for k in range(15)])
+    clients = make("clients", [{"client_id": str(k), "first_activity": str(WS + timedelta(days=k - 8))} for k in range(16)])
+    stocks = make("stocks", [{"stock_name": "x", "plan_category_name": "Diets/Food", "onhand_qty": 3, "purchase_cost": 2}])
+    for rows_of, week in ((lines, (WS, WE)), ([], (WS, WE)), (lines, (date(2024, 6, 3), date(2024, 6, 9)))):
+        given = (make("invoices", rows_of), clients, patients, stocks, *week)
+        metrics = dashboard.weekly_dashboard(*given, only=dashboard.TIDY_METRICS)
+        expected = dashboard.tidy_dashboard(metrics)
+        got = dashboard.tidy_week(*given)
+        assert got.columns == expected.columns
+        assert sorted(rows(got), key=str) == sorted(rows(expected), key=str)
+
+
+def test_totals(make):
+    lines = [
+        line("2024-01-22", 10, client_id="1", plan_category_name="a"),
+        line("2024-01-23", 20, client_id="1", patient_species="Avian", invoice_id="j"),
+        line("2024-01-24", 30, client_id="2", patient_species="Rabbit", invoice_id="k"),
+    ]
+    clients = make("clients", [{"client_id": "2", "first_activity": "2024-01-22"}])
+    metrics = dashboard.weekly_dashboard(
+        make("invoices", lines), clients, make("patients", []), make("stocks", []), WS, WE
+    )
+    tables = dashboard.table_totals(metrics)
+    customers = {(r.customer_type, r.species): r.client_count for r in tables["new_vs_existing_customers"].collect()}
+    # Client 1 is in two rows but counts once.
+    assert customers[("Total", None)] == 2 and sum(v for k, v in customers.items() if k[0] != "Total") == 3
+    assert rows(tables["new_vs_existing_revenue"])[-1] == ("Total", 60.0, 100.0)
+    total = [r for r in tables["category_top"].collect() if r.category == "Total (Top 5)"]
+    assert len(total) == 1 and total[0].pct_contribution is None
