@@ -603,7 +603,7 @@ def new_vs_existing_first_day(spark, d):
 
 @_query
 def new_customer_species_mix(spark, d):
-    period = P.last_complete_month(date(2000, 6, 10))
+    period = P.last_complete_month(date(2000, 4, 10))
     return customers.new_customer_species_mix(A.invoices(spark, d), A.clients(spark, d), period)
 
 
