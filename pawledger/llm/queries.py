@@ -109,6 +109,53 @@ def op10_near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SOLID = r"[^\x20\x09-\x0D]+"
+
+
+def words_sql(text: str, pattern: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), {UPPER_LOWER}), '{pattern}')"
+
+
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, {words_sql("text", ALNUM)} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {words_sql("text", ALNUM)} AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)
+), dw AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN (SELECT DISTINCT n FROM bw) k ON len(w) >= n)
+), hits AS (SELECT doc_id, i, n, item FROM dw JOIN bw USING (n, g)
+), hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP5_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {words_sql("text", SOLID)} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], chr(31)) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+), reach(x, root) AS (SELECT x, x FROM links UNION SELECT l.y, r.root FROM reach r JOIN links l ON l.x = r.x
+), roots AS (SELECT x, min(root) AS root FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id,
+  d.doc_id = coalesce(root, d.doc_id) AS kept
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN roots ON x = d.doc_id
+"""
+
+
 QUERIES = (
     op1_token_ids,
     op2_packing,
@@ -128,4 +175,4 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def statements() -> dict[str, str]:
-    return {"op9_chat": OP9_SQL}
+    return {"op3_decontamination": OP3_SQL, "op5_near_duplicates": OP5_SQL, "op9_chat": OP9_SQL}
