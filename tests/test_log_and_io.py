@@ -282,3 +282,6 @@ def test_scans(spark, make):
     assert rows(empty) == [(None, None, False)]
     inv = make("invoices", [{"patient_species": s} for s in ("Canine", None, "Canine")])
     assert rows(scans.distinct_values(inv, "patient_species")) == [("Canine",)]
+    paid = make("payments", [{"payment_id": d, "payment_date": d} for d in ("2024-01-31", "2024-02-01")])
+    found = scans.payments_scan(paid, P.month(2024, 1)).select("payment_id")
+    assert rows(found) == [("2024-01-31",)] and scans.payments_scan(paid).count() == 2
