@@ -1,13 +1,9 @@
 from __future__ import annotations
 
-import os
-import sys
-
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+from .brute import SMALL
 
-SMALL = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, n_words string, kept string, score string, batch string, __q string, __lines string"
 
 
@@ -24,12 +20,3 @@ def table(spark):
 @pytest.fixture(scope="session")
 def small(spark):
     return lambda name: spark.read.parquet(f"{SMALL}/{name}.parquet")
-
-
-def prose(n, seed=0):
-    """n words, few of them alike."""
-    words, x = [], seed * 7919 + 17
-    for _ in range(n):
-        x = (x * 1103515245 + 12345) % (1 << 31)
-        words.append("w" + str(x % 100_003))
-    return " ".join(words)

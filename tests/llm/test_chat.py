@@ -1,7 +1,7 @@
 import duckdb
 
-import brute
-from conftest import SMALL
+from . import brute
+from .brute import SMALL
 from pawledger.llm import chat, queries
 
 EVENTS = "conv_id long, seq long, kind string, message long, role string, text string, formatted string"

@@ -1,5 +1,5 @@
-import brute
-from conftest import SMALL, prose
+from . import brute
+from .brute import SMALL, prose
 from pawledger.llm import queries
 from pawledger.llm.licenses import NOTICES, found_licenses
 

@@ -2,8 +2,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-import brute
-from conftest import SMALL, prose
+from . import brute
+from .brute import SMALL, prose
 from pawledger.llm import groups, near_documents, queries
 from pawledger.llm.groups import whole_runs
 

@@ -1,8 +1,8 @@
 import numpy as np
 import pyarrow as pa
 
-import brute
-from conftest import SMALL, prose
+from . import brute
+from .brute import SMALL, prose
 from pawledger.llm import near_lines, queries
 from pawledger.llm.near_lines import deduplicated, lines, shingles, without_repeated_lines
 

@@ -3,7 +3,7 @@ import itertools
 import numpy as np
 import pytest
 
-from conftest import SMALL, prose
+from .brute import SMALL, prose
 from pawledger.llm import queries
 from pawledger.llm.packing import bucket_bounds, packed, token_counts
 from pawledger.llm.tokens import Encoder, default_path

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from conftest import SMALL, prose
+from .brute import SMALL, prose
 from pawledger.llm.store import stored
 
 

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from conftest import SMALL, prose
+from .brute import SMALL, prose
 from pawledger.llm import quality_model, queries
 from pawledger.llm.quality_model import Neighbours, fitted, scored
 

@@ -1,5 +1,5 @@
-import brute
-from conftest import SMALL, prose
+from . import brute
+from .brute import SMALL, prose
 from pawledger.llm import quality_rules, queries
 from pawledger.llm.quality_rules import RULES, estimate, good_documents, posterior, rated
 

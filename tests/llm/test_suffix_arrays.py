@@ -1,8 +1,8 @@
 import numpy as np
 import pytest
 
-import brute
-from conftest import SMALL, prose
+from . import brute
+from .brute import SMALL, prose
 from pawledger.llm import queries, suffix_arrays
 from pawledger.llm.suffix_arrays import clean, contamination, matches, suffix_array
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from conftest import SMALL, prose
+from .brute import SMALL, prose
 from pawledger.llm import queries, token_ids
 from pawledger.llm.token_ids import pack, read_ids, unpack, write_ids
 from pawledger.llm.tokens import Encoder, default_path
