@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .store import stored
 
@@ -31,10 +31,10 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         both = pairs.union(pairs.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = stored(small.union(low).distinct(), name)
+        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        # The row of the smallest neighbour links the node itself, any other its neighbour.
+        end = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
+        pairs = stored(small.select(end.alias("u"), F.col("m").alias("v")).distinct(), name)
         after = _checksum(pairs)
         if after == state:
             break
