@@ -194,12 +194,14 @@ def edge_batch(nodes: pa.ChunkedArray, edges: list[tuple[int, int]]) -> pa.Recor
 def candidate_edges(keys: DataFrame, near: Callable, name: str, most: int = 4096) -> DataFrame:
     """Edges (a, b) that span, in each set of rows with equal `key`, the pairs that are near.
 
-    `keys` has key (long), node (long) and sketch (bytes); `near(sketches)` returns the function
+    `keys` has key (long), node (long) and sketch (bytes or a long); `near(sketches)` returns the function
     `linked(i, j)`. Runs of more than `most` rows pass through and are compared in pairs of blocks.
     """
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_keys = keys.repartition(parts, "key").sortWithinPartitions("key")
-    fields = "a long, b long, key long, sketch binary"
+    kind = keys.schema["sketch"].dataType
+    empty_sketch = pa.binary() if kind.typeName() == "binary" else pa.int64()
+    fields = f"a long, b long, key long, sketch {kind.simpleString()}"
 
     def work(batches):
         for table, is_long in whole_runs(batches, ["key"], most):
@@ -219,7 +221,7 @@ def candidate_edges(keys: DataFrame, near: Callable, name: str, most: int = 4096
                 linked = near(table.column("sketch"))
                 edges = list(spanning_links(key, side, linked))
                 found = edge_batch(table.column("node"), edges)
-                blank = pa.nulls(found.num_rows, pa.int64()), pa.nulls(found.num_rows, pa.binary())
+                blank = pa.nulls(found.num_rows, pa.int64()), pa.nulls(found.num_rows, empty_sketch)
                 columns = [*found.columns, *blank]
             yield pa.RecordBatch.from_arrays(columns, ["a", "b", "key", "sketch"])
 

@@ -23,12 +23,20 @@ from .words import blocks, mix, stream, text_buffers
 SHINGLE = 10
 BANDS, BAND_ROWS = 10, 3
 HASHES = BANDS * BAND_ROWS
-#: MinHashes whose two lowest bits may differ in near sketches. At a similarity of 0.8, 4.5 of 30
+#: MinHashes of which two bits may differ in near sketches. At a similarity of 0.8, 4.5 of 30
 #: do on average and more than 13 about once in 20,000 pairs; of unrelated lines, 22.5 do.
 DISTANCE = 13
 LINE_BLOCK = 1 << 20
-FLIPS = (stream(21, HASHES) >> np.uint64(32)).astype(np.uint32)
-FACTORS = (stream(22, HASHES) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+#: Each hash function gives two MinHashes: the least value, and the greatest, which is the least of
+#: the reverse order.
+FUNCTIONS = HASHES // 2
+FLIPS = (stream(21, FUNCTIONS) >> np.uint64(32)).astype(np.uint32)
+FACTORS = (stream(22, FUNCTIONS) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+#: Values hashed at once, so that they stay in the cache.
+CACHED = 1 << 15
+#: Two codes for each of the first places of a line.
+PLACES = 1 << 12
+PLACE_CODES = (stream(24, PLACES) | np.uint64(1), stream(25, PLACES) | np.uint64(1))
 STEPS = stream(23, 8) | np.uint64(1)
 NEWLINE, SPACE = 0x0A, 0x20
 
@@ -54,16 +62,17 @@ def lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     known = np.asarray(column.is_valid())
     # One newline after each text ends its last line.
     size = len(points) + len(sizes)
-    text = np.full(size, NEWLINE, np.uint32)
-    text[np.arange(len(points)) + np.repeat(np.arange(len(sizes)), sizes)] = points
     last = bounds[1:] + np.arange(len(sizes))
-    upper = (text >= 0x41) & (text <= 0x5A)
-    text[upper] += 32
+    own = np.ones(size, bool)
+    own[last] = False
+    text = np.full(size, NEWLINE, np.uint32)
+    text[own] = points
+    text += (text - np.uint32(0x41) < 26).astype(np.uint32) << np.uint32(5)
     breaks = np.flatnonzero(text == NEWLINE)
     line_start = np.concatenate(([0], breaks[:-1] + 1)) if len(breaks) else breaks
-    solid = ~((text == SPACE) | ((text >= 0x09) & (text <= 0x0D)))
+    solid = (text != SPACE) & (text - np.uint32(0x09) > 4)
     # The last blank of a run stays if something solid precedes it in the line and follows it.
-    seen = np.concatenate(([0], np.cumsum(solid)))
+    seen = np.concatenate(([0], np.cumsum(solid, dtype=np.int32)))
     inner = np.zeros(size, bool)
     inner[:-1] = solid[1:]
     inner &= ~solid & (text != NEWLINE)
@@ -73,7 +82,7 @@ def lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     text[at] = SPACE
     keep = solid
     keep[at] = True
-    kept = np.concatenate(([0], np.cumsum(keep)))
+    kept = np.concatenate(([0], np.cumsum(keep, dtype=np.int64)))
     starts = np.append(kept[line_start], kept[-1])
     row = np.searchsorted(last, breaks)
     first = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(sizes)))))[:-1]
@@ -86,25 +95,30 @@ def lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return text[keep], starts, row, number
 
 
-def prints(chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Two 64-bit hashes of each line, by character and place."""
+def prints(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each line, by its characters' codes and their places."""
     sizes = np.diff(starts)
     out = np.zeros((len(sizes), 2), np.uint64)
     full = np.flatnonzero(sizes)
     if len(full):
-        place = np.arange(len(chars)) - np.repeat(starts[full], sizes[full])
-        code = mix(chars.astype(np.uint64) + np.uint64(1))
-        for k, seed in enumerate((np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))):
-            weight = mix(place.astype(np.uint64) * seed + seed) | np.uint64(1)
-            out[full, k] = np.add.reduceat(weight * code, starts[full])
+        place = np.arange(len(code)) - np.repeat(starts[full], sizes[full])
+        beyond = np.flatnonzero(place >= PLACES)
+        for k, codes in enumerate(PLACE_CODES):
+            weight = codes[place & (PLACES - 1)]
+            weight[beyond] += mix((place[beyond] >> 12).astype(np.uint64) + np.uint64(k)) << np.uint64(1)
+            weight *= code
+            out[full, k] = np.add.reduceat(weight, starts[full])
     out[:, 1] += sizes.astype(np.uint64)
     return mix(out)
 
 
-def shingles(chars: np.ndarray, starts: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def char_codes(chars: np.ndarray) -> np.ndarray:
+    return mix(chars.astype(np.uint64) + np.uint64(1))
+
+
+def shingles(code: np.ndarray, starts: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of all lines (one for a line of up to `width` characters, none for an empty
-    one) and their n + 1 bounds."""
-    code = mix(chars.astype(np.uint64) + np.uint64(1))
+    one) and their n + 1 bounds, from the characters' codes."""
     n = len(code)
     powers, length, value = {1: code}, 1, code
     while 2 * length <= width:
@@ -122,13 +136,19 @@ def shingles(chars: np.ndarray, starts: np.ndarray, width: int = SHINGLE) -> tup
     windows = np.maximum(sizes - width + 1, 0)
     bounds = np.concatenate(([0], np.cumsum(np.where(sizes > 0, np.maximum(windows, 1), 0))))
     out = np.empty(int(bounds[-1]), np.uint64)
-    long_lines = np.flatnonzero(windows)
-    at = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows[long_lines]) - windows[long_lines], windows[long_lines])
-    out[at + np.repeat(bounds[long_lines], windows[long_lines])] = total[at + np.repeat(starts[long_lines], windows[long_lines])]
+    # A window begins at each character but the last width - 1 of a line.
+    begins = np.ones(n, bool)
+    for k in range(1, width):
+        begins[starts[1:][sizes >= k] - k] = False
     short = np.flatnonzero((sizes > 0) & (windows == 0))
     if len(short):
-        out[bounds[short]] = prints(chars, starts)[short, 0]
-    return mix(out), bounds
+        whole = np.ones(len(out), bool)
+        whole[bounds[short]] = False
+        out[whole] = total[begins[: len(total)]]
+        out[bounds[short]] = prints(code, starts)[short, 0]
+    else:
+        out[:] = total[begins[: len(total)]]
+    return out, bounds
 
 
 def min_hashes(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -136,10 +156,21 @@ def min_hashes(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     short = (values >> np.uint64(32)).astype(np.uint32)
     full = np.flatnonzero(np.diff(bounds))
     out = np.full((len(bounds) - 1, HASHES), 0xFFFFFFFF, np.uint32)
-    if len(full):
-        where = bounds[full]
-        for k in range(HASHES):
-            out[full, k] = np.minimum.reduceat((short ^ FLIPS[k]) * FACTORS[k], where)
+    first, ends = 0, bounds[full + 1]
+    while first < len(full):
+        last = int(np.searchsorted(ends, bounds[full[first]] + CACHED, side="right"))
+        last = max(last, first + 1)
+        rows = full[first:last]
+        begin = bounds[rows]
+        part = short[begin[0] : ends[last - 1]]
+        begin = begin - begin[0]
+        value = np.empty_like(part)
+        for k in range(FUNCTIONS):
+            np.bitwise_xor(part, FLIPS[k], out=value)
+            np.multiply(value, FACTORS[k], out=value)
+            out[rows, 2 * k] = np.minimum.reduceat(value, begin)
+            out[rows, 2 * k + 1] = np.maximum.reduceat(value, begin)
+        first = last
     return out
 
 
@@ -164,7 +195,8 @@ def line_table(documents: DataFrame) -> DataFrame:
     def work(batches):
         for batch in blocks(batches, most=LINE_BLOCK):
             chars, starts, row, number = lines(batch.column(1))
-            values, bounds = shingles(chars, starts)
+            code = char_codes(chars)
+            values, bounds = shingles(code, starts)
             low = min_hashes(values, bounds)
             full = np.flatnonzero(np.diff(starts))
             rows = pa.array(row[full])
@@ -174,7 +206,7 @@ def line_table(documents: DataFrame) -> DataFrame:
                     batch.column(0).take(rows),
                     batch.column(2).take(rows),
                     pa.array(number[full].astype(np.int32)),
-                    fixed(prints(chars, starts)[full]),
+                    fixed(prints(code, starts)[full]),
                     pa.array(sketch(low[full]).view(np.int64)),
                     fixed(np.ascontiguousarray(keys.reshape(len(full), BANDS * 6))),
                 ],
@@ -210,13 +242,13 @@ def probes(classes: DataFrame) -> DataFrame:
             rows = pa.array(np.repeat(np.arange(n), BANDS))
             numbers = keys.reshape(-1).view(np.int64)
             sketches = np.repeat(batch.column(1).to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers), batch.column(0).take(rows), fixed(sketches[:, None])], ["key", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), batch.column(0).take(rows), pa.array(sketches)], ["key", "node", "sketch"])
 
-    return classes.select("node", "sketch", "keys").mapInArrow(work, "key long, node long, sketch binary")
+    return classes.select("node", "sketch", "keys").mapInArrow(work, "key long, node long, sketch long")
 
 
 def near_sketches(sketches: pa.ChunkedArray) -> Callable:
-    table = np.frombuffer(b"".join(sketches.to_pylist()), np.uint64)
+    table = sketches.to_numpy().view(np.uint64)
 
     def linked(i, j):
         differ = table[i] ^ table[j]
@@ -228,14 +260,18 @@ def near_sketches(sketches: pa.ChunkedArray) -> Callable:
 
 def similar_lines(table: pa.Table, percent: int) -> Callable:
     """Tells which pairs have 100 * intersection >= percent * union of their shingle sets."""
-    chars, starts, row, _ = lines(table.column("text").combine_chunks())
-    values, bounds = shingles(chars, starts)
-    sets = [np.unique(values[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    near = near_sketches(table.column("sketch"))
+    chars, starts, _, _ = lines(table.column("text").combine_chunks())
+    values, bounds = shingles(char_codes(chars), starts)
+    sets = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        found = np.sort(values[a:b])
+        sets.append(found[np.concatenate(([True], found[1:] != found[:-1]))] if b > a else found)
     sizes = np.array([len(s) for s in sets], np.int64)
 
     def linked(i, j):
         small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-        hit = 100 * small >= percent * large
+        hit = (100 * small >= percent * large) & near(i, j)
         for k in np.flatnonzero(hit):
             both = np.concatenate((sets[i[k]], sets[j[k]]))
             both.sort()
@@ -247,11 +283,12 @@ def similar_lines(table: pa.Table, percent: int) -> Callable:
 
 
 def texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, group and text for the wanted lines (node, group, doc_id, version, line)."""
-    asked = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct("line", "node", "group")).alias("asked"))
+    """node, group, sketch and text for the wanted lines (and their doc_id, version and line)."""
+    one = F.struct("line", "node", "group", "sketch")
+    asked = wanted.groupBy("doc_id", "version").agg(F.collect_list(one).alias("asked"))
     parts = versions(documents).join(asked, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
     parts = parts.select(F.split("text", "\n").alias("parts"), F.explode("asked").alias("one"))
-    return parts.select("one.node", "one.group", F.get("parts", F.col("one.line")).alias("text"))
+    return parts.select("one.node", "one.group", "one.sketch", F.get("parts", F.col("one.line")).alias("text"))
 
 
 def line_verdicts(documents: DataFrame, percent: int = 80) -> DataFrame:
@@ -265,7 +302,7 @@ def line_verdicts(documents: DataFrame, percent: int = 80) -> DataFrame:
     classes = found.groupBy("print").agg(owner, F.min("sketch").alias("sketch"), F.min("keys").alias("keys"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "line-classes")
     coarse = components(candidate_edges(probes(classes), near_sketches, "near-lines"), "coarse-lines")
-    members = coarse.join(classes, "node").select("node", F.xxhash64("root").alias("group"), "owner.*")
+    members = coarse.join(classes, "node").select("node", "sketch", F.xxhash64("root").alias("group"), "owner.*")
     texts = stored(texts_of(documents, members), "line-texts")
     links = compared(texts, "group", "node", lambda table: similar_lines(table, percent))
     linked = components(stored(links, "line-links"), "linked-lines")
