@@ -10,12 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+#: Temporary folders of sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in the session; a fresh temporary one only where none is set."""
-    named = spark.conf.get(CHECKPOINT_DIR, None)
+    context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set(CHECKPOINT_DIR, named)
+        named = _OWN.get(context.applicationId)
+        if named is None:
+            named = _OWN[context.applicationId] = tempfile.mkdtemp(prefix="shared-")
     return named.rstrip("/")
 
 

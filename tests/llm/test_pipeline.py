@@ -1,6 +1,8 @@
 import corpus_pipeline
 from .brute import SMALL, prose
-from pawledger.llm.store import stored
+from types import SimpleNamespace
+
+from pawledger.llm.store import shared_dir, stored
 
 
 def test_stages_keep_columns_and_clean_documents(spark, table, tmp_path):
@@ -27,3 +29,14 @@ def test_run(spark, small):
     got = [r.doc_id for r in found.collect()]
     assert got and set(got) <= ids
     assert found.columns == ["doc_id", "piece", "start", "n_tokens", "bucket", "bucket_length", "batch", "slot"]
+
+
+def test_the_named_folder_is_used():
+    def session(named, current, app):
+        context = SimpleNamespace(getCheckpointDir=lambda: current, applicationId=app)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: named), sparkContext=context)
+
+    assert shared_dir(session("hdfs://a/b/", None, "x")) == "hdfs://a/b"
+    assert shared_dir(session(None, "/c", "x")) == "/c"
+    own = shared_dir(session(None, None, "x"))
+    assert own == shared_dir(session(None, None, "x")) != shared_dir(session(None, None, "y"))
