@@ -27,8 +27,9 @@ from .tokens import default_path, encoder
 from .words import blocks
 
 END = 0
-#: Tokens of a block, unless one document has more; tokens of a file, about.
-BLOCK_TOKENS, FILE_TOKENS = 1 << 18, 1 << 23
+#: Tokens of a block, unless one document has more; tokens of a file, about; and files at most (the
+#: reader broadcasts a row for each), which then get longer: they are read block by block.
+BLOCK_TOKENS, FILE_TOKENS, MOST_FILES = 1 << 18, 1 << 23, 20_000
 #: Lengths of the four numbers of a control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
@@ -139,7 +140,7 @@ def write_ids(documents: DataFrame, folder: str, path: str | None = None) -> Non
     shared = spark.sparkContext.broadcast(rank)
     rows = rows.where("n_tokens is not null")
     total = rows.agg(F.sum("n_tokens")).first()[0] or 0
-    files = int(total // FILE_TOKENS) + 1
+    files = min(int(total // FILE_TOKENS) + 1, MOST_FILES)
 
     def work(batches):
         rank, part, before, block = shared.value, TaskContext.get().partitionId(), 0, 0
@@ -192,7 +193,7 @@ def read_ids(spark: SparkSession, folder: str, digest: bool = False) -> DataFram
     order = np.frombuffer(bytes(spark.read.parquet(f"{folder}/ranks").first()[0]), "<u4")
     shared = spark.sparkContext.broadcast(order)
     ends = rows.groupBy("part").agg(F.sum("n_tokens").alias("size"))
-    # One row for each file: the only window without keys.
+    # One row for each file, MOST_FILES at most: the only window without keys.
     offsets = ends.selectExpr("part", "sum(size) over (order by part) - size as offset")
     rows = rows.join(F.broadcast(offsets), "part").withColumn("before", F.col("before") + F.col("offset"))
     last = "ids_crc32 long" if digest else "ids array<long>"
