@@ -156,6 +156,35 @@ FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN roots ON x = d.doc_id
 """
 
 
+OP10_SQL = f"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, i AS no, parts[i] AS line, trim(regexp_replace(translate(parts[i], {UPPER_LOWER}), '[ \\t-\\r]+', ' ', 'g')) AS n
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
+        FROM documents WHERE text IS NOT NULL)
+), t AS (SELECT n, row_number() OVER () AS id, min({{'d': doc_id, 'no': no}}) AS owner FROM l WHERE n <> '' GROUP BY n
+), s AS (
+  SELECT DISTINCT id, substring(n, i, 10) AS g FROM (SELECT id, n, unnest(range(1, greatest(length(n) - 9, 1) + 1)) AS i FROM t)
+), sizes AS (SELECT id, count(*) AS c FROM s GROUP BY id
+), common AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.id <> b.id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.id = x JOIN sizes q ON q.id = y WHERE 100 * common.c >= 80 * (p.c + q.c - common.c)
+), reach(x, root) AS (SELECT x, x FROM links UNION SELECT k.y, r.root FROM reach r JOIN links k ON k.x = r.x
+), roots AS (SELECT x, min(root) AS root FROM reach GROUP BY x
+), named AS (SELECT id, n, coalesce(root, id) AS root, owner FROM t LEFT JOIN roots ON x = id
+), firsts AS (SELECT root, min(owner) AS first FROM named GROUP BY root
+), marked AS (
+  SELECT l.doc_id, l.no, l.line, first IS NULL OR first = {{'d': l.doc_id, 'no': l.no}} AS stays
+  FROM l LEFT JOIN named USING (n) LEFT JOIN firsts USING (root)
+), told AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (stays), '')) AS text_sha256
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, text_sha256
+FROM documents d LEFT JOIN told ON told.doc_id = d.doc_id
+"""
+
+
 QUERIES = (
     op1_token_ids,
     op2_packing,
@@ -175,4 +204,9 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def statements() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op5_near_duplicates": OP5_SQL, "op9_chat": OP9_SQL}
+    return {
+        "op3_decontamination": OP3_SQL,
+        "op5_near_duplicates": OP5_SQL,
+        "op9_chat": OP9_SQL,
+        "op10_near_lines": OP10_SQL,
+    }
