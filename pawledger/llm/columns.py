@@ -5,13 +5,22 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 BLANKS = "[ \\t-\\r]+"
 #: ASCII without digits and lower-case letters; texts are put in lower case first.
 OUTSIDE_WORDS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
+def hash_sample(rows: DataFrame, by: list[str], most: int) -> DataFrame:
+    """All rows, or about `most` of them if there are more: those whose hash of the columns lies
+    lowest. Only a count reaches the driver."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.where(F.shiftrightunsigned(F.xxhash64(*by), 11) < int((1 << 53) * (most / n)))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with the value worked out once, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .columns import hash_sample
 from .token_ids import _total
 from .words import SOLID, UPPER, blocks, lower_code, text_buffers, word_bounds, word_hashes
 
@@ -141,14 +142,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fitted(documents: DataFrame, labels: DataFrame, most: int = LABELLED) -> Neighbours:
-    """Learn from up to `most` labelled rows that are not held out (those whose ids have the
-    smallest hashes). Rows without an id, a label or a text teach nothing."""
+    """Learn from about `most` labelled rows that are not held out, those with the smallest hashes,
+    or from all if there are fewer. Rows without an id, a label or a text teach nothing."""
     counts, n = document_counts(documents)
     rarity = (np.log((n + 1) / (counts + 1)) + 0.1).astype(np.float32)
     # Two columns of the labels are read; the sample is bounded by `most`.
     known = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("int").alias("__label"))
     known = known.where("__id is not null and __label is not null").where(~held_out(F.col("__id"))).distinct()
-    known = known.orderBy(F.xxhash64("__id"), "__id", "__label").limit(most)
+    known = hash_sample(known, ["__id", "__label"], most)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.where("text is not null").join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("doc_id", "__label", "text")
 
@@ -157,7 +158,8 @@ def fitted(documents: DataFrame, labels: DataFrame, most: int = LABELLED) -> Nei
             found = [v.tobytes() for v in vectors(batch.column(2), rarity)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "label", "vector"])
 
-    taught = rows.mapInArrow(work, "doc_id long, label int, vector binary").orderBy("doc_id", "label", "vector").limit(most).collect()
+    taught = rows.mapInArrow(work, "doc_id long, label int, vector binary").collect()
+    taught.sort(key=lambda r: (r.doc_id, r.label, bytes(r.vector)))
     table = np.array([np.frombuffer(bytes(r.vector), np.float32) for r in taught], np.float32).reshape(-1, BINS + SHARES)
     good = np.array([1.0 if r.label == 1 else 0.0 for r in taught])
     if not len(good):

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .columns import hash_sample
 from .words import LOWER, UPPER, blocks, text_buffers, word_bounds
 
 # The patterns and their least lengths.
@@ -209,11 +210,12 @@ def harmless(rng: np.random.Generator, n: int) -> list[bytes]:
 
 
 def fitted(documents: DataFrame, seed: int = 5) -> Model:
-    """Train on the findings of a bounded sample: the SAMPLE_DOCUMENTS documents of up to
-    SAMPLE_CHARS characters whose ids have the smallest hashes."""
+    """Train on the findings of a bounded sample: about SAMPLE_DOCUMENTS documents of up to
+    SAMPLE_CHARS characters, those with the smallest hashes."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.where(f"length(text) between 1 and {SAMPLE_CHARS}").withColumn("order", F.xxhash64("doc_id", "text"))
-    texts = [r.text for r in rows.orderBy("order", "doc_id").limit(SAMPLE_DOCUMENTS).collect()]
+    rows = rows.where(f"length(text) between 1 and {SAMPLE_CHARS}")
+    sample = hash_sample(rows, ["doc_id", "text"], SAMPLE_DOCUMENTS)
+    texts = sorted(r.text for r in sample.select("text").collect())
     rng = np.random.default_rng(seed)
     good, bad, plain = [], [], []
     for text, spans in zip(texts, candidates(pa.array(texts, pa.string()))):
