@@ -143,7 +143,8 @@ def held_out(doc_id: Column) -> Column:
 
 def fitted(documents: DataFrame, labels: DataFrame, most: int = LABELLED) -> Neighbours:
     """Learn from about `most` labelled rows that are not held out, those with the smallest hashes,
-    or from all if there are fewer. Rows without an id, a label or a text teach nothing."""
+    or from all if there are fewer. Rows without an id, a label or a text teach nothing; of rows
+    that repeat an id and label, one does."""
     counts, n = document_counts(documents)
     rarity = (np.log((n + 1) / (counts + 1)) + 0.1).astype(np.float32)
     # Two columns of the labels are read; the sample is bounded by `most`.
@@ -158,7 +159,8 @@ def fitted(documents: DataFrame, labels: DataFrame, most: int = LABELLED) -> Nei
             found = [v.tobytes() for v in vectors(batch.column(2), rarity)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "label", "vector"])
 
-    taught = rows.mapInArrow(work, "doc_id long, label int, vector binary").collect()
+    taught = rows.mapInArrow(work, "doc_id long, label int, vector binary").groupBy("doc_id", "label")
+    taught = taught.agg(F.min("vector").alias("vector")).collect()
     taught.sort(key=lambda r: (r.doc_id, r.label, bytes(r.vector)))
     table = np.array([np.frombuffer(bytes(r.vector), np.float32) for r in taught], np.float32).reshape(-1, BINS + SHARES)
     good = np.array([1.0 if r.label == 1 else 0.0 for r in taught])
