@@ -32,6 +32,25 @@ def test_odd_rows(table):
     assert rated(table([])).count() == 0 and good_documents(table([])).count() == 0
 
 
+def test_very_long_clean_texts_are_kept(table):
+    import random
+
+    rng = random.Random(4)
+
+    def clean(n):
+        return "".join(f"{'x' * (k % 7)}w{rng.randrange(3000)}" + (".\n" if k % 12 == 11 else " ") for k in range(n)) + "End."
+
+    def salad(k):
+        return " ".join(rng.choice("abcdefghijklmnop") for _ in range(200)) + "."
+
+    bad = [lambda k: prose(200, k).replace(" ", " $ "), lambda k: prose(200, k).upper() + "!" * 80, salad]
+    rows = [(k, clean(150)) for k in range(150)] + [(200 + k, bad[k % 3](k)) for k in range(30)] + [(900, clean(200_000)), (901, clean(500_000))]
+    found = {r.doc_id: r["__q"] for r in rated(table(rows)).where("doc_id < 1 or doc_id >= 200").collect()}
+    assert found[0].kept and not any(found[200 + k].kept for k in range(30))
+    assert found[900].kept and found[901].kept
+    assert all(2 * found[k].n_part_distinct > found[k].n_words for k in (900, 901))
+
+
 def test_em_recovers_rates():
     import random
 
