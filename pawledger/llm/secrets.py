@@ -1,10 +1,12 @@
 """Secrets in documents: fixed patterns, and a character convolution over everything else.
 
-Candidates are the matches of the fixed patterns and all runs of secret-like characters with
-digits and letters. A small convolutional network reads each candidate and the text around it. It
+Candidates are the matches of the fixed patterns and all runs of secret-like characters that change
+between lower case, upper case and digits, or are long and not a plain sequence. A small
+convolutional network reads each candidate and the text around it. It
 is trained on labelled findings of a bounded sample: matches of the patterns and keys made up by
 rule in well-known forms; other runs, words and harmless runs made up by rule are the negatives. Its scores are calibrated on
-findings held out, and the threshold is the largest that keeps the recall asked for.
+findings held out, and the threshold is the largest that keeps the recall asked for; keys made up that are
+no candidates count as lost.
 """
 
 from __future__ import annotations
@@ -30,10 +32,13 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 KINDS = ("assign", "access", "hex", "model")
 HEX = np.isin(UPPER, list(b"0123456789abcdef"))
 TOKEN = np.isin(UPPER, list((string.ascii_letters + string.digits + "+/_.=-").encode()))
-DIGIT = np.isin(UPPER, list(string.digits.encode()))
-ALPHA = np.isin(UPPER, list(string.ascii_letters.encode()))
-#: A run is a candidate from so many characters and digits on.
-RUN_LEAST, DIGITS_LEAST = 16, 3
+#: 1, 2, 3 for lower case, upper case and digits, 0 for all else.
+CLASS = sum(k * np.isin(UPPER, list(letters.encode())) for k, letters in enumerate((string.ascii_lowercase, string.ascii_uppercase, string.digits), 1)).astype(np.int8)
+#: A run is a candidate from so many characters and changes of class between neighbours on; or
+#: from so many characters and changes of the step between neighbours on: a character over and
+#: over, or a part of the alphabet, has one step.
+RUN_LEAST, CHANGES_LEAST = 8, 2
+PLAIN_LEAST, STEPS_LEAST = 16, 4
 
 BEFORE, INSIDE, AFTER = 24, 40, 16
 WIDTH = BEFORE + INSIDE + AFTER
@@ -67,9 +72,7 @@ def candidates(texts: pa.Array) -> list[list[tuple[int, int, int]]]:
         long_runs = ends - starts >= least
         starts, ends = starts[long_runs], ends[long_runs]
         if kind == 3 and len(starts):
-            digits = np.concatenate(([0], np.cumsum(DIGIT[data])))
-            letters = np.concatenate(([0], np.cumsum(ALPHA[data])))
-            odd = (digits[ends] - digits[starts] >= DIGITS_LEAST) & (letters[ends] > letters[starts])
+            odd = odd_runs(data, starts, ends)
             starts, ends = starts[odd], ends[odd]
         rows = np.searchsorted(bounds, starts, side="right") - 1
         for row, start, end in zip(rows.tolist(), starts.tolist(), ends.tolist()):
@@ -80,6 +83,24 @@ def candidates(texts: pa.Array) -> list[list[tuple[int, int, int]]]:
     return found
 
 
+def odd_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which runs change class or step often enough to be candidates."""
+    kind = CLASS[data]
+    # changes[i]: of the class from character i - 1 to i; turns[i]: of the step at character i - 1.
+    changes, turns = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
+    changes[1:] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+    step = np.diff(data.astype(np.int16))
+    turns[2:] = step[1:] != step[:-1]
+    changes, turns = np.cumsum(changes), np.cumsum(turns)
+    mixed = changes[ends - 1] - changes[starts] >= CHANGES_LEAST
+    return mixed | ((ends - starts >= PLAIN_LEAST) & (turns[ends - 1] - turns[starts + 1] >= STEPS_LEAST))
+
+
+def pieces(spans: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """The spans as they are scored, and the number of the span of each."""
+    return spans, np.arange(len(spans))
+
+
 def views(text: bytes, spans: list[tuple[int, int, int]]) -> np.ndarray:
     """Character numbers (0 beyond the text, 1-95 printable ASCII, 96 others) around each span, and
     128 more inside the span."""
@@ -119,13 +140,31 @@ class Model:
 
     def scores(self, windows: np.ndarray) -> np.ndarray:
         """Calibrated probabilities."""
-        logits = [self.forward(windows[i : i + 512])[3] for i in range(0, len(windows), 512)]
-        logit = np.concatenate(logits) if logits else np.zeros(0)
+        logit = self.logits(windows)
         return 1 / (1 + np.exp(-np.clip(self.scale * logit + self.shift, -50, 50)))
 
+    def logits(self, windows: np.ndarray) -> np.ndarray:
+        found = [self.forward(windows[i : i + 512])[3] for i in range(0, len(windows), 512)]
+        return np.concatenate(found) if found else np.zeros(0, np.float32)
+
+    def best(self, text: bytes, spans: list[tuple[int, int, int]]) -> np.ndarray:
+        """The largest score of the pieces of each span."""
+        out = np.zeros(len(spans))
+        cut, owner = pieces(spans)
+        for i in range(0, len(cut), 4096):
+            np.maximum.at(out, owner[i : i + 4096], self.scores(views(text, cut[i : i + 4096])))
+        return out
 
-def train(windows: np.ndarray, labels: np.ndarray, recall: float = RECALL, epochs: int = 12, seed: int = 5) -> Model:
-    """Fit by Adam on four fifths; calibrate and set the threshold on the rest."""
+
+def train(
+    windows: np.ndarray, labels: np.ndarray, recall: float = RECALL, epochs: int = 12, seed: int = 5, owner: np.ndarray | None = None, missed: int = 0
+) -> Model:
+    """Fit by Adam on four fifths; calibrate and set the threshold on the rest.
+
+    `owner` is the finding of each window: of several, the one of the largest score counts. `missed`
+    secrets were never candidates; the threshold makes up for them as far as it can.
+    """
+    owner = np.arange(len(labels)) if owner is None else owner
     rng = np.random.default_rng(seed)
     channels = (EMBED + 1) * REACH
     model = Model(
@@ -142,9 +181,18 @@ def train(windows: np.ndarray, labels: np.ndarray, recall: float = RECALL, epoch
     parts = ["embed", "filters", "bias", "out", "out_bias"]
     moments = {p: (np.zeros_like(getattr(model, p)), np.zeros_like(getattr(model, p))) for p in parts}
     step = 0
+
+    def strongest() -> tuple[np.ndarray, np.ndarray]:
+        """The window of the largest score of each finding, and its logit."""
+        logit = model.logits(windows)
+        order = np.lexsort((logit, owner))
+        top = order[np.searchsorted(owner[order], np.arange(len(labels)), side="right") - 1]
+        return top, logit[top]
+
     for _ in range(epochs):
+        top, _ = strongest()
         for batch in np.array_split(rng.permutation(fit), max(len(fit) // 64, 1)):
-            x, y = windows[batch], labels[batch].astype(np.float32)
+            x, y = windows[top[batch]], labels[batch].astype(np.float32)
             view, best, pooled, logit = model.forward(x)
             error = (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - y) / len(batch)
             d_pool = error[:, None] * model.out * (pooled > 0)
@@ -163,11 +211,12 @@ def train(windows: np.ndarray, labels: np.ndarray, recall: float = RECALL, epoch
                 two += 0.001 * (grads[p] ** 2 - two)
                 value = getattr(model, p)
                 value -= (0.01 * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    logit, y = model.forward(windows[held])[3] if len(held) else np.zeros(0), labels[held]
+    logit, y = strongest()[1][held], labels[held]
     if len(held) and 0 < y.sum() < len(y):
         calibrate(model, logit, y)
-        kept = np.sort(model.scores(windows[held])[y == 1])
-        model.threshold = float(min(kept[int((1 - recall) * len(kept))], 0.5))
+        kept = np.sort(1 / (1 + np.exp(-np.clip(model.scale * logit + model.shift, -50, 50)))[y == 1])
+        lost = missed * len(held) / len(labels)
+        model.threshold = float(min(kept[max(int((1 - recall) * (len(kept) + lost) - lost), 0)], 0.5))
     return model
 
 
@@ -186,7 +235,7 @@ def calibrate(model: Model, logit: np.ndarray, y: np.ndarray, rounds: int = 200)
 def made_up(rng: np.random.Generator, n: int) -> list[bytes]:
     """Random keys in well-known forms."""
     base = string.ascii_letters + string.digits
-    forms = (("ghp_", base, 36), ("sk-", base, 48), ("xoxb-", string.digits + "-", 24), ("eyJ", base + "_-", 60), ("", base + "+/", 40), ("AIza", base + "_-", 35))
+    forms = (("ghp_", base, 36), ("sk-", base, 48), ("xoxb-", string.digits + "-", 24), ("eyJ", base + "_-", 60), ("", base + "+/", 40), ("AIza", base + "_-", 35), ("", base, 16), ("", string.ascii_letters, 24), ("", base, 10))
     out = []
     for k in range(n):
         head, letters, size = forms[k % len(forms)]
@@ -205,6 +254,8 @@ def harmless(rng: np.random.Generator, n: int) -> list[bytes]:
         lambda: f"{word()}-{word()}-v{number(1, 9)}.{number(10, 99)}.{number(0, 9)}.tar.gz",
         lambda: f"{word()}_{word()}_{word()}_{number(100, 999999)}",
         lambda: f"{word()}={number(1000, 99999)}.{number(10, 99)}",
+        lambda: f"{word()}{word().title()}{word().title()}",
+        lambda: f"{word()}/{word()}/{word()}_{word()}/{word()}-{word()}/{word()}/{word()}.{word()}",
     )
     return [forms[k % len(forms)]().encode() for k in range(n)]
 
@@ -222,23 +273,36 @@ def fitted(documents: DataFrame, seed: int = 5) -> Model:
         raw = text.encode()
         base = [s for s in spans if s[0] < 3]
         if len(good) < SAMPLE_FINDINGS and base:
-            good += list(views(raw, base))
+            good += [(raw, s) for s in base]
         if len(bad) < SAMPLE_FINDINGS and len(spans) > len(base):
-            bad += list(views(raw, [s for s in spans if s[0] == 3]))
+            bad += [(raw, s) for s in spans if s[0] == 3]
         if len(plain) < SAMPLE_FINDINGS:
             words = [m for m in re.finditer(rb"[A-Za-z0-9+/_.=-]{8,}", raw) if not any(a < m.end() and m.start() < b for _, a, b in spans)]
             if words:
                 word = words[int(rng.integers(len(words)))]
-                plain.append(views(raw, [(3, word.start(), word.end())])[0])
-    made = SAMPLE_MADE if texts else 0
+                plain.append((raw, (3, word.start(), word.end())))
+    made, missed = SAMPLE_MADE if texts else 0, 0
     for kind, runs in ((good, made_up(rng, made)), (bad, harmless(rng, made))):
         for k, run in enumerate(runs):
             raw = texts[k % len(texts)].encode()
             cut = raw.find(b" ", int(rng.integers(len(raw)))) + 1
-            kind.append(views(raw[:cut] + run + b" " + raw[cut:], [(3, cut, cut + len(run))])[0])
-    bad += plain
-    windows = np.array(good + bad, np.uint8).reshape(-1, WIDTH)
-    return train(windows, np.array([1] * len(good) + [0] * len(bad)), seed=seed)
+            near = raw[max(cut - 200, 0) : cut]
+            text, end = near + run + b" " + raw[cut : cut + 200], len(near) + len(run)
+            # Other bytes are no part of a run: one character each keeps the places.
+            (spans,) = candidates(pa.array([re.sub(rb"[\x80-\xff]", b"?", text).decode()], pa.string()))
+            whole = [s for s in spans if s[1] <= len(near) and end <= s[2]]
+            if whole:
+                kind.append((text, max(whole)))
+            elif kind is good:
+                missed += 1
+    found = good + bad + plain
+    windows, owner = [np.zeros((0, WIDTH), np.uint8)], []
+    for k, (raw, span) in enumerate(found):
+        cut, _ = pieces([span])
+        windows.append(views(raw, cut))
+        owner += [k] * len(cut)
+    labels = np.array([1] * len(good) + [0] * (len(found) - len(good)))
+    return train(np.concatenate(windows), labels, epochs=40, seed=seed, owner=np.array(owner, np.int64), missed=missed)
 
 
 def secrets(documents: DataFrame, model: Model | None = None) -> DataFrame:
@@ -259,14 +323,10 @@ def secrets(documents: DataFrame, model: Model | None = None) -> DataFrame:
             found = candidates(batch.column(1))
             rows = [k for k, spans in enumerate(found) if spans]
             texts = {k: data[bounds[k] : bounds[k + 1]].tobytes() for k in rows}
-            windows = [views(texts[k], found[k]) for k in rows]
-            scores = model.scores(np.concatenate(windows)) if rows else np.zeros(0)
             counts, top = np.zeros((batch.num_rows, 4), np.int64), np.zeros(batch.num_rows)
             spans, base = [""] * batch.num_rows, [""] * batch.num_rows
-            at = 0
             for k in rows:
-                own = scores[at : at + len(found[k])]
-                at += len(found[k])
+                own = model.best(texts[k], found[k])
                 kept = sorted((a, kind, b) for (kind, a, b), score in zip(found[k], own) if kind < 3 or score >= model.threshold)
                 before = np.concatenate(([0], np.cumsum((np.frombuffer(texts[k], np.uint8) & 0xC0) != 0x80)))
                 names = [(kind, f"{KINDS[kind]}:{before[a]}:{before[b]}") for a, kind, b in kept]

@@ -74,3 +74,20 @@ def test_model_spans_come_after_the_others(table):
     model.threshold = 0.0
     r = secrets(table([(1, "é ghp_0123456789abcdefghij0123 token=abcdefgh12345678 x")]), model).collect()[0]
     assert r.spans == "model:2:30,hex:6:22,assign:31:53" and r.n_model == 1
+
+
+def test_keys_with_few_digits_and_short_keys_are_candidates():
+    rng = np.random.default_rng(2)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for base, size in ((letters, 10), (letters, 16), (letters, 24), (letters[:52], 20), (letters[:26], 20)):
+        keys = ["".join(rng.choice(list(base), size)) for _ in range(300)]
+        found = candidates(pa.array([f"it is {key} here" for key in keys]))
+        assert sum(spans == [(3, 6, 6 + size)] for spans in found) >= 0.97 * len(keys), (base, size)
+
+
+def test_missed_secrets_lower_the_threshold():
+    rng = np.random.default_rng(3)
+    windows = rng.integers(1, 96, (400, module.WIDTH)).astype(np.uint8)
+    labels = (rng.random(400) < 0.5).astype(int)
+    windows[np.flatnonzero((labels == 1) & (np.arange(400) % 10 < 7)), 30:34] = 65
+    assert train(windows, labels, recall=0.6, epochs=40, missed=60).threshold < train(windows, labels, recall=0.6, epochs=40).threshold
