@@ -4,7 +4,7 @@ import pyarrow as pa
 from . import brute
 from .brute import SMALL, prose
 from pawledger.llm import queries, secrets as module
-from pawledger.llm.secrets import candidates, fitted, secrets, train, views
+from pawledger.llm.secrets import candidates, fitted, pieces, secrets, train, views
 
 
 def check(r, text):
@@ -85,6 +85,22 @@ def test_keys_with_few_digits_and_short_keys_are_candidates():
         assert sum(spans == [(3, 6, 6 + size)] for spans in found) >= 0.97 * len(keys), (base, size)
 
 
+def test_the_whole_of_a_long_run_is_seen(small):
+    spans = [(3, 5, 5 + n) for n in (1, 39, 40, 41, 60, 61, 500)]
+    cut, owner = pieces(spans)
+    for k, (_, start, end) in enumerate(spans):
+        own = [(a, b) for (_, a, b), of in zip(cut, owner) if of == k]
+        assert {i for a, b in own for i in range(a, b)} == set(range(start, end)) and all(b - a <= 40 for a, b in own)
+        assert own[-1][1] == end
+    model = fitted(small("documents"))
+    path = b"config/prod/services/payments/api/internal/settings/"
+    text = [b"see " + path + b"key=" + key + b" there" for key in module.made_up(np.random.default_rng(7), 60)]
+    whole = [candidates(pa.array([t.decode()]))[0] for t in text]
+    assert all((3, 4, len(t) - 6) in spans for t, spans in zip(text, whole))
+    found = [model.best(t, [(3, 4, len(t) - 6)])[0] for t in text]
+    assert np.mean(np.array(found) >= model.threshold) >= 0.8
+
+
 def test_missed_secrets_lower_the_threshold():
     rng = np.random.default_rng(3)
     windows = rng.integers(1, 96, (400, module.WIDTH)).astype(np.uint8)
