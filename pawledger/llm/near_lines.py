@@ -189,14 +189,14 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return key
 
 
-def line_table(documents: DataFrame) -> DataFrame:
+def line_table(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, version (of the text), line, print, sketch, keys: a row for each line that is not blank."""
 
     def work(batches):
         for batch in blocks(batches, most=LINE_BLOCK):
             chars, starts, row, number = lines(batch.column(1))
             code = char_codes(chars)
-            values, bounds = shingles(code, starts)
+            values, bounds = shingles(code, starts, shingle)
             low = min_hashes(values, bounds)
             full = np.flatnonzero(np.diff(starts))
             rows = pa.array(row[full])
@@ -258,11 +258,11 @@ def near_sketches(sketches: pa.ChunkedArray) -> Callable:
     return linked
 
 
-def similar_lines(table: pa.Table, percent: int) -> Callable:
+def similar_lines(table: pa.Table, percent: int, shingle: int = SHINGLE) -> Callable:
     """Tells which pairs have 100 * intersection >= percent * union of their shingle sets."""
     near = near_sketches(table.column("sketch"))
     chars, starts, _, _ = lines(table.column("text").combine_chunks())
-    values, bounds = shingles(char_codes(chars), starts)
+    values, bounds = shingles(char_codes(chars), starts, shingle)
     sets = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         found = np.sort(values[a:b])
@@ -291,20 +291,20 @@ def texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return parts.select("one.node", "one.group", "one.sketch", F.get("parts", F.col("one.line")).alias("text"))
 
 
-def line_verdicts(documents: DataFrame, percent: int = 80) -> DataFrame:
+def line_verdicts(documents: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, version, line and first (whether the line stays) for each line that is not blank.
 
     Lines are linked if 100 * intersection >= percent * union of their shingle sets. Of each
     component the line of the smallest (doc_id, version, line) stays.
     """
-    found = stored(line_table(documents), "lines")
+    found = stored(line_table(documents, shingle), "lines")
     owner = F.min(F.struct("doc_id", "version", "line")).alias("owner")
     classes = found.groupBy("print").agg(owner, F.min("sketch").alias("sketch"), F.min("keys").alias("keys"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "line-classes")
     coarse = components(candidate_edges(probes(classes), near_sketches, "near-lines"), "coarse-lines")
     members = coarse.join(classes, "node").select("node", "sketch", F.xxhash64("root").alias("group"), "owner.*")
     texts = stored(texts_of(documents, members), "line-texts")
-    links = compared(texts, "group", "node", lambda table: similar_lines(table, percent))
+    links = compared(texts, "group", "node", lambda table: similar_lines(table, percent, shingle))
     linked = components(stored(links, "line-links"), "linked-lines")
     firsts = linked.join(classes, "node").groupBy("root").agg(F.min("owner").alias("first"))
     named = linked.join(firsts, "root").select("node", "first")
@@ -314,7 +314,7 @@ def line_verdicts(documents: DataFrame, percent: int = 80) -> DataFrame:
     return rows.select("doc_id", "version", "line", (here == F.col("first")).alias("first"))
 
 
-def deduplicated(documents: DataFrame, percent: int = 80) -> DataFrame:
+def deduplicated(documents: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
     """All columns of documents with the text of the lines that stay, and `__lines`, `__removed`.
 
     Each row keeps its lines but those that repeat, exactly or nearly, another line of a smaller
@@ -323,7 +323,7 @@ def deduplicated(documents: DataFrame, percent: int = 80) -> DataFrame:
     repeat a doc_id and its text are one document and all keep the same lines. Columns named like
     the two added ones are replaced. An empty table gives no rows.
     """
-    gone = line_verdicts(documents, percent).where("not first")
+    gone = line_verdicts(documents, percent, shingle).where("not first")
     gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("version").alias("__version"))
     gone = gone.agg(F.collect_set("line").alias("__gone"))
     rows = documents.drop("__lines", "__removed")
@@ -349,8 +349,8 @@ def deduplicated(documents: DataFrame, percent: int = 80) -> DataFrame:
     return rows.mapInArrow(work, rows.drop("__drop").schema)
 
 
-def without_repeated_lines(documents: DataFrame, percent: int = 80) -> DataFrame:
+def without_repeated_lines(documents: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
     """The documents with the lines that stay; one that had lines and has none left goes."""
-    rows = deduplicated(documents, percent)
+    rows = deduplicated(documents, percent, shingle)
     emptied = (F.col("__removed") > 0) & ~F.col("text").rlike("[^ \\t-\\r]")
     return rows.where(~F.coalesce(emptied, F.lit(False))).select(*documents.columns)

@@ -23,6 +23,20 @@ def test_stages_keep_columns_and_clean_documents(spark, table, tmp_path):
     assert kept <= set(seen["packing"])
 
 
+def test_lines_with_one_changed_character_are_one(spark, table):
+    import random
+
+    rng, rows = random.Random(6), []
+    for size in range(49, 101):
+        line = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz      ", k=size - 2)).replace("  ", " x")
+        line = "y" + line.replace("  ", " z") + "y"
+        at = rng.randrange(6, size - 6)
+        rows += [(2 * size, line), (2 * size + 1, f"{line[:at]}7{line[at + 1 :]}\nown line number {size * 7919} {line[::-1]}")]
+    found = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, table(rows), "").collect()}
+    missed = [size for size in range(49, 101) if "\n" in found[2 * size + 1] or found[2 * size] != dict(rows)[2 * size]]
+    assert not missed
+
+
 def test_run(spark, small):
     found = corpus_pipeline.run(spark, SMALL)
     ids = {r.doc_id for r in small("documents").collect()}
