@@ -41,7 +41,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def signed(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, print (a fingerprint of the set) and sketch (the signature)."""
+    """doc_id, n_shingles, print (a fingerprint of the set) and sketch (the signature), from doc_id
+    (of any type) and text."""
 
     def work(batches):
         for batch in blocks(batches):
@@ -56,8 +57,9 @@ def signed(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 ["doc_id", "n_shingles", "print", "sketch"],
             )
 
-    ids = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return ids.mapInArrow(work, "doc_id long, n_shingles long, print binary, sketch binary")
+    ids = documents.select("doc_id", F.col("text").cast("string"))
+    kind = ids.schema["doc_id"].dataType.simpleString()
+    return ids.mapInArrow(work, f"doc_id {kind}, n_shingles long, print binary, sketch binary")
 
 
 def matrix(sketches: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -124,7 +126,7 @@ def sets_of(documents: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             nodes = batch.column(1).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([nodes, pa.array([sets[k].tobytes() for k in keep], pa.binary())], ["node", "shingles"])
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     texts = texts.join(wanted, "doc_id").select("text", "node", "print")
     return texts.mapInArrow(work, "node long, shingles binary").dropDuplicates(["node"])
 
@@ -141,6 +143,11 @@ def near_duplicates(documents: DataFrame, percent: int = 85, shingle: int = SHIN
     are rows of their own and share what that id has. Other columns are ignored. An empty table
     gives no rows.
     """
+    return _verdicts(documents.withColumn("doc_id", F.col("doc_id").cast("long")), percent, shingle)
+
+
+def _verdicts(documents: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """near_duplicates with a doc_id of any type that has an order."""
     rows = stored(signed(documents, shingle), "signed")
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("print")
     classes = classes.agg(F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch"))
@@ -163,8 +170,23 @@ def near_duplicates(documents: DataFrame, percent: int = 85, shingle: int = SHIN
 
 
 def without_duplicates(documents: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
-    """The documents of which near_duplicates keeps the id, with all their columns; rows without an
-    id stay. A doc_id goes as a whole."""
-    verdict = near_duplicates(documents, percent, shingle).where("not kept and doc_id is not null")
-    gone = verdict.select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One document of each group that near_duplicates links, with all columns.
+
+    A document is a (doc_id, version of the text): of a group, one row of the smallest stays, rows
+    without a doc_id coming last. Rows without shingles all stay.
+    """
+    unnamed = F.col("doc_id").isNull()
+    own = F.struct(
+        unnamed.alias("unnamed"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
+        F.xxhash64(F.col("text").cast("string")).alias("version"),
+    )
+    verdicts = _verdicts(documents.select(own.alias("doc_id"), "text"), percent, shingle).where("n_shingles > 0")
+    found = verdicts.groupBy(F.col("doc_id").alias("__own")).agg(F.first("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows"))
+    found = stored(found.where("not __kept or __rows > 1"), "duplicates")
+    match = own == F.col("__own")
+    single = documents.join(found.select("__own"), match, "left_anti")
+    repeated = found.where("__kept").select("__own")
+    if repeated.isEmpty():
+        return single
+    return single.union(documents.join(repeated, match).dropDuplicates(["__own"]).drop("__own"))

@@ -120,3 +120,17 @@ def test_pigeonhole_keys():
     for _ in range(200):
         differ = rng.choice(near_documents.SYMBOLS, 2 * near_documents.CHUNKS - 1, replace=False)
         assert np.bincount(differ // width, minlength=near_documents.CHUNKS).min() <= 1
+
+
+def test_one_row_of_each_group_stays(table):
+    x, y = prose(100, 1), prose(100, 2)
+    near = near_documents.without_duplicates
+    left = near(table([(1, x), (2, x), (2, y), (3, y)]))
+    assert left.columns == table([]).columns
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(1, x), (2, y)]
+    rows = [(5, x), (5, x), (5, x + " end"), (None, x), (None, y), (None, y), (7, None), (7, None), (8, "")]
+    got = [(r.doc_id, r.text) for r in near(table(rows)).collect()]
+    assert sorted(got, key=str) in [
+        sorted([first, (None, y), (7, None), (7, None), (8, "")], key=str) for first in ((5, x), (5, x + " end"))
+    ]
+    assert near(table([])).count() == 0
