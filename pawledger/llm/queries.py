@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import chat, licenses, near_documents, near_lines, packing, quality_model, quality_rules, secrets, suffix_arrays, token_ids
+from . import chat, licenses, near_documents, near_lines, packing, quality_model, quality_rules, secrets, suffix_arrays, token_ids, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +109,12 @@ def op10_near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as product codes, with their errors and a digest of the codebooks."""
+    rows = vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+    return rows.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SOLID = r"[^\x20\x09-\x0D]+"
@@ -184,6 +190,45 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
 FROM documents d LEFT JOIN told ON told.doc_id = d.doc_id
 """
 
+OP13_START = """
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding, len(embedding) // 16 AS width FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+), x AS (
+  SELECT r, (i - 1) // width AS part, (i - 1) % width AS j, CAST(floor(256 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT r, width, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM kept)
+), first AS (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 64
+), book0 AS (SELECT part, entry, j, x AS c FROM x JOIN first USING (r))"""
+
+
+def op13_near(k: int) -> str:
+    """The nearest entry of each part, by the codebooks of a round."""
+    return f""", far{k} AS (
+  SELECT r, part, entry, sum((x - c) * (x - c)) AS d FROM x JOIN book{k} USING (part, j) GROUP BY r, part, entry
+), near{k} AS (SELECT r, part, min({{'d': d, 'entry': entry}}) AS best FROM far{k} GROUP BY r, part)"""
+
+
+def op13_moved(k: int) -> str:
+    """The codebooks after a round."""
+    return f""", mean{k} AS (
+  SELECT part, best.entry AS entry, j, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS c
+  FROM x JOIN near{k} USING (r, part) GROUP BY part, best.entry, j
+), book{k + 1} AS (
+  SELECT part, entry, j, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN mean{k} m USING (part, entry, j))"""
+
+
+OP13_SQL = f"""{OP13_START}{op13_near(0)}{op13_moved(0)}{op13_near(1)}{op13_moved(1)}{op13_near(2)}
+, codes AS (
+  SELECT r, string_agg(lpad(lower(hex(best.entry)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM near2 GROUP BY r
+), coded AS (SELECT vec_id, label, code, error FROM kept JOIN codes USING (r)
+), sums AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM coded GROUP BY label
+), digest AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, j)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, label_error, codebooks_sha256
+FROM coded c JOIN sums s ON c.label IS NOT DISTINCT FROM s.label, digest
+"""
+
 
 QUERIES = (
     op1_token_ids,
@@ -196,6 +241,7 @@ QUERIES = (
     op8_licenses,
     op9_chat,
     op10_near_lines,
+    op13_vector_codes,
 )
 
 
@@ -209,4 +255,5 @@ def statements() -> dict[str, str]:
         "op5_near_duplicates": OP5_SQL,
         "op9_chat": OP9_SQL,
         "op10_near_lines": OP10_SQL,
+        "op13_vector_codes": OP13_SQL,
     }
