@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import chat, licenses, near_documents, near_lines, packing, quality_model, quality_rules, secrets, suffix_arrays, token_ids, vector_codes
+from . import (
+    chat,
+    licenses,
+    near_documents,
+    near_lines,
+    packing,
+    periodic_runs,
+    quality_model,
+    quality_rules,
+    secrets,
+    suffix_arrays,
+    token_ids,
+    vector_codes,
+)
+from .columns import BLANKS, let, words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +123,47 @@ def op10_near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_cycles(documents: DataFrame) -> DataFrame:
+    """The documents of op12: with h = crc32(doc_id) and g = h // 10, a text of n words with h % 10 = 0
+    repeats its words from a = g % n on with a period of 1 + (n - a) // (3 + g % 8)."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def cycled(parts):
+        def word(a, p):
+            at = F.sequence(F.lit(0), F.size(parts) - 1)
+            return F.transform(at, lambda i: F.get(parts, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+
+        def from_a(a):
+            period = 1 + F.floor((F.size(parts) - a) / (3 + g % 8))
+            return let(period, lambda p: F.array_join(word(a, p), " "))
+
+        return F.when(F.size(parts) > 0, let(g % F.size(parts), from_a))
+
+    text = F.when(h % 10 == 0, let(words(F.col("text"), BLANKS), cycled)).otherwise(F.col("text"))
+    return documents.select("doc_id", text.alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, and digests of them and of the collapsed texts."""
+    rows = periodic_runs.periodic_runs(with_cycles(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    shown = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    rows = rows.withColumn("best", best)
+    length, period = F.col("best.length"), -F.col("best.col3")
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.col2")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(shown, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors as product codes, with their errors and a digest of the codebooks."""
     rows = vector_codes.compressed(table(spark, sf_dir, "embeddings"))
@@ -241,6 +296,7 @@ QUERIES = (
     op8_licenses,
     op9_chat,
     op10_near_lines,
+    op12_periodic_runs,
     op13_vector_codes,
 )
 
