@@ -15,6 +15,7 @@ from . import (
     near_lines,
     packing,
     periodic_runs,
+    personal_data,
     quality_model,
     quality_rules,
     secrets,
@@ -123,6 +124,21 @@ def op10_near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: counts and a digest of the base spans, and all spans."""
+    rows = personal_data.personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def shown(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(name):
+        return F.size(F.filter(base, lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
+
+    counts = [count(kind.name) for kind in personal_data.BASE]
+    return rows.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown("spans").alias("spans"))
+
+
 def with_cycles(documents: DataFrame) -> DataFrame:
     """The documents of op12: with h = crc32(doc_id) and g = h // 10, a text of n words with h % 10 = 0
     repeats its words from a = g % n on with a period of 1 + (n - a) // (3 + g % 8)."""
@@ -296,6 +312,7 @@ QUERIES = (
     op8_licenses,
     op9_chat,
     op10_near_lines,
+    op11_personal_data,
     op12_periodic_runs,
     op13_vector_codes,
 )
