@@ -2,15 +2,17 @@
 
 A weekly report of n weeks is built from n + 1 weeks: the newest n + 1 weeks
 up to the reference day that have rows form the spine, the oldest of them is
-only the baseline. The spine is read from the date column alone and has n + 1
-rows, so it is always safe to broadcast; lines of other weeks are dropped by it
-before they are added up.
+only the baseline. The spine is searched backward from the reference day in the
+date column alone; its dates become plain ranges in the filter of the lines, so
+that nothing older is read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from datetime import date
+from datetime import date, timedelta
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -33,6 +35,7 @@ MEASURES: dict[str, Callable[[str], Column]] = {
 }
 
 Dims = Sequence[Column | str]
+WEEK = timedelta(weeks=1)
 
 
 def measure_columns(names: Sequence[str], phantom: str = rules.PHANTOM_CLIENT) -> list[Column]:
@@ -83,27 +86,67 @@ def week_period(as_of: date, lookback_weeks: int | None = None) -> P.Period:
     return P.up_to(as_of, P.week_of(P.weeks_back(as_of, lookback_weeks)).start)
 
 
-def week_spine(
+def recent_weeks(
     rows: DataFrame, as_of: date, n: int, date_col: str, lookback_weeks: int | None = None
-) -> DataFrame:
-    """The newest n + 1 weeks with rows, each with the spine week before it.
+) -> list[date]:
+    """The Mondays of the newest n + 1 weeks with rows, newest first.
 
-    Callers who know that no gap is longer may give ``lookback_weeks``; then
-    only so many weeks are searched.
+    The search reads the date column of 2 (n + 1) weeks. Only while fewer weeks are found and older
+    rows exist does it go on, in ranges that grow fourfold; each day is read once. It runs when it
+    is called, and its n + 1 dates come to the driver. ``lookback_weeks`` ends it there.
     """
-    dates = rows.filter(P.in_period(date_col, week_period(as_of, lookback_weeks)))
-    weeks = dates.select(C.week_start(date_col).alias("week")).distinct()
-    newest = weeks.orderBy(F.desc("week")).limit(n + 1)
-    return newest.withColumn("prev_week", F.lag("week").over(W.orderBy("week")))
+    period = week_period(as_of, lookback_weeks)
+    earliest, end, span = period.start, period.end, 2 * (n + 1)
+    oldest_known = False
+    found: list[date] = []
+    while True:
+        weeks_before = min(span, (as_of - date.min).days // 7 - 1)
+        start = P.week_of(P.weeks_back(as_of, weeks_before)).start
+        if earliest is not None:
+            start = max(start, earliest)
+        dates = rows.filter(P.in_range(date_col, start, end))
+        weeks = dates.select(C.week_start(date_col).alias("week")).distinct()
+        found += [r["week"] for r in weeks.orderBy(F.desc("week")).limit(n + 1 - len(found)).collect()]
+        if len(found) > n or start == earliest:
+            return found
+        if not oldest_known:
+            first = rows.filter(P.in_range(date_col, end=start)).agg(F.min(C.week_start(date_col))).first()[0]
+            if first is None:
+                return found
+            earliest, oldest_known = max(first, earliest or first), True
+        end, span = start, 4 * span
+
+
+def in_weeks(date_col: str, weeks: Sequence[date], period: P.Period) -> Column:
+    """Days of the weeks, newest first, inside a period: one plain range, and where weeks are missing
+    one more for each stretch of weeks."""
+    if not weeks:
+        return F.lit(False)
+    start = weeks[-1] if period.start is None else max(weeks[-1], period.start)
+    stretches: list[P.Period] = []
+    for week in weeks:
+        if stretches and stretches[-1].start == week + WEEK:
+            stretches[-1] = P.Period(week, stretches[-1].end)
+        else:
+            stretches.append(P.Period(week, week + WEEK))
+    inside = P.in_range(date_col, start, period.end)
+    if len(stretches) > 1 or stretches[0].end < period.end:
+        inside = inside & reduce(or_, [P.in_range(date_col, *s) for s in stretches])
+    return inside
 
 
 def spine_rows(
     rows: DataFrame, as_of: date, n: int, date_col: str, lookback_weeks: int | None = None
 ) -> DataFrame:
-    """The lines of the spine's weeks, with ``week`` and ``prev_week``."""
-    spine = week_spine(rows, as_of, n, date_col, lookback_weeks)
-    upto = rows.filter(P.in_period(date_col, week_period(as_of, lookback_weeks)))
-    return upto.withColumn("week", C.week_start(date_col)).join(F.broadcast(spine), "week")
+    """The lines of the newest n + 1 weeks with rows, with ``week`` and ``prev_week``, the one of
+    these weeks before it."""
+    weeks = recent_weeks(rows, as_of, n, date_col, lookback_weeks)
+    lines = rows.filter(in_weeks(date_col, weeks, week_period(as_of, lookback_weeks)))
+    before = F.lit(None).cast("date")
+    if len(weeks) > 1:
+        pairs = [F.lit(day) for pair in zip(weeks[:-1], weeks[1:]) for day in pair]
+        before = F.element_at(F.create_map(*pairs), F.col("week"))
+    return lines.withColumn("week", C.week_start(date_col)).withColumn("prev_week", before)
 
 
 def week_columns() -> list[Column]:
@@ -250,7 +293,9 @@ def top_categories_weekly(
     """The k best categories over the n + 1 weeks, week by week with growth.
 
     The weekly sums are folded into one row per category, at most n + 1
-    entries each; so ranking and output share one pass over the lines.
+    entries each; so ranking and output share one pass over the lines. Lines
+    without a category are a category of their own, which may take one of the k
+    places and is then shown. Only lines up to the reference day count.
     """
     recent = spine_rows(P.period_rows(invoices), as_of, n, P.SERVICE_DATE)
     keyed, _ = with_dims(recent, {"category": category})

@@ -60,6 +60,36 @@ def test_top_categories_by_all_fetched_weeks(make):
     assert len(got) == 3 * 6
 
 
+def test_a_null_category_may_be_among_the_best(make):
+    lines = []
+    for d in MONDAYS[:3]:
+        lines += [line(d, 50, plan_category_name=None), line(d, 20, plan_category_name="a"), line(d, 10, plan_category_name="b")]
+    # Lines after the reference day don't count, though their week is a spine week.
+    lines.append(line(AS_OF + timedelta(days=1), 900, plan_category_name="b"))
+    report = trends.top_categories_weekly(make("invoices", lines), AS_OF, k=2, n=2)
+    assert [(r["category"], r["revenue"]) for r in report.collect()] == [(None, 50.0), ("a", 20.0)] * 2
+
+
+def test_weeks_are_found_behind_gaps_of_any_length(make):
+    far = [MONDAYS[0], MONDAYS[1], date(2019, 7, 1), date(1902, 1, 6), date(1901, 12, 30), date(1002, 1, 4)]
+    inv = make("invoices", [line(d, 10 * (i + 1)) for i, d in enumerate(far)])
+    monday = [d - timedelta(days=d.weekday()) for d in far]
+    for n in range(8):
+        assert trends.recent_weeks(inv, AS_OF, n, P.SERVICE_DATE) == monday[: n + 1]
+    assert trends.recent_weeks(inv, AS_OF, 4, P.SERVICE_DATE, lookback_weeks=6) == monday[:2]
+    assert trends.recent_weeks(inv, date(1901, 12, 31), 1, P.SERVICE_DATE) == monday[4:]
+    report = trends.weekly_kpi(inv, "revenue", AS_OF, 4)
+    assert [(r["revenue"], r["prev_revenue"]) for r in report.collect()] == [(40.0, 50.0), (30.0, 40.0), (20.0, 30.0), (10.0, 20.0)]
+
+
+def test_days_of_the_missing_weeks_are_left_out(make):
+    weeks = [MONDAYS[0], MONDAYS[1], MONDAYS[4], MONDAYS[6]]
+    inv = make("invoices", [line(d, 1) for d in MONDAYS] + [line(AS_OF + timedelta(days=1), 1)])
+    kept = inv.filter(trends.in_weeks(P.SERVICE_DATE, weeks, P.up_to(AS_OF)))
+    assert sorted(r[0].date() for r in kept.select(P.SERVICE_DATE).collect()) == sorted(weeks)
+    assert inv.filter(trends.in_weeks(P.SERVICE_DATE, [], P.up_to(AS_OF))).count() == 0
+
+
 def test_months_skip_missing_service_dates(make):
     lines = [line("2024-01-31 23:59:59", 5), line("2024-02-01", 7)]
     lines.append({"invoice_date": "2024-01-10", "total": 1, "performed_date": None})
