@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PREVIEW_ROWS = 50
+#: Lists merged at once, and how often.
+MERGED, LEVELS = 64, 4
+TASK_BITS = 33
 
 
 def write_tidy(
@@ -18,6 +21,26 @@ def write_tidy(
     writer.format(fmt).save(path)
 
 
+def first_rows(result: DataFrame, row: Column, rows: int = PREVIEW_ROWS) -> DataFrame:
+    """One row: ``row_count``, and in ``first`` the first values of ``row`` in the order of the tasks.
+
+    Each task keeps its first rows. Their lists are merged in a tree: those of MERGED tasks, then of
+    as many groups, and so on; each merge keeps the first rows only, so none reads more than MERGED
+    lists, up to MERGED ** LEVELS tasks.
+    """
+    numbered = result.select(row.alias("row"), F.monotonically_increasing_id().alias("number"))
+    # The upper bits number the task, the lower TASK_BITS its rows.
+    early = F.col("number").bitwiseAND((1 << TASK_BITS) - 1) < rows
+    merged = numbered.withColumn("task", F.shiftright("number", TASK_BITS))
+    count, kept = F.count(F.lit(1)), F.collect_list(F.when(early, F.struct("number", "row")))
+    for level in range(1, LEVELS + 1):
+        keys = [F.floor(F.col("task") / MERGED).alias("task")] if level < LEVELS else []
+        merged = merged.groupBy(*keys).agg(count.alias("row_count"), kept.alias("kept"))
+        merged = merged.withColumn("kept", F.slice(F.sort_array("kept"), 1, rows))
+        count, kept = F.coalesce(F.sum("row_count"), F.lit(0)), F.flatten(F.collect_list("kept"))
+    return merged.select("row_count", F.transform("kept", lambda k: k["row"]).alias("first"))
+
+
 def result_step(
     result: DataFrame, step_id: int, description: str, sql: str, result_alias: str
 ) -> DataFrame:
@@ -27,13 +50,7 @@ def result_step(
     the first of those, in the order of the tasks, are shown.
     """
     row = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
-    numbered = result.select(row.alias("row"), F.monotonically_increasing_id().alias("number"))
-    # The lower 33 bits count the rows of a task.
-    early = F.col("number").bitwiseAND((1 << 33) - 1) < PREVIEW_ROWS
-    kept = F.collect_list(F.when(early, F.struct("number", "row")))
-    merged = numbered.agg(F.count(F.lit(1)).alias("row_count"), kept.alias("kept"))
-    first = F.slice(F.sort_array("kept"), 1, PREVIEW_ROWS)
-    merged = merged.select("row_count", F.transform(first, lambda k: k["row"]).alias("data_preview"))
+    merged = first_rows(result, row).withColumnRenamed("first", "data_preview")
     return merged.select(
         F.lit(step_id).alias("step_id"),
         F.lit(description).alias("description"),

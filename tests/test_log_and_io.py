@@ -285,3 +285,22 @@ def test_scans(spark, make):
     paid = make("payments", [{"payment_id": d, "payment_date": d} for d in ("2024-01-31", "2024-02-01")])
     found = scans.payments_scan(paid, P.month(2024, 1)).select("payment_id")
     assert rows(found) == [("2024-01-31",)] and scans.payments_scan(paid).count() == 2
+
+
+def test_no_merge_of_previews_grows_with_the_tasks(spark):
+    """10,000 tasks: every merge reads a few lists, the last one only those of the last groups."""
+    tasks = 10_000
+    first = sinks.first_rows(spark.range(0, 3 * tasks, 1, tasks), F.col("id"))
+    row = first.first()
+    assert (row["row_count"], row["first"]) == (3 * tasks, list(range(50)))
+    # Each task has up to 50 rows, so a merge of MERGED lists reads a few thousand.
+    assert sinks.MERGED * sinks.PREVIEW_ROWS <= 4000 and sinks.MERGED**sinks.LEVELS > 10**7
+    tree = first._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.count("Aggregate [") == sinks.LEVELS
+
+
+def test_previews_follow_the_order_of_tasks(spark):
+    sparse = spark.range(0, 40_000, 1, 300).where("id % 700 = 3")
+    step = sinks.result_step(sparse, 1, "", "", "a").first()
+    assert step.row_count == 58
+    assert [json.loads(r)["id"] for r in step.data_preview] == [3 + 700 * k for k in range(50)]
