@@ -191,41 +191,73 @@ def edge_batch(nodes: pa.ChunkedArray, edges: list[tuple[int, int]]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(nodes[pairs[:, 0]]), pa.array(nodes[pairs[:, 1]])], ["a", "b"])
 
 
+def sorted_runs(rows: DataFrame) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key").sortWithinPartitions("key")
+
+
+def repeated_rows(table: pa.Table) -> pa.Table:
+    """The rows of a sorted table that share their key with another one."""
+    key = table.column("key").to_numpy()
+    repeated = np.zeros(len(key), bool)
+    same = key[1:] == key[:-1]
+    repeated[1:] |= same
+    repeated[:-1] |= same
+    return table.filter(pa.array(repeated))
+
+
+def run_edges(table: pa.Table, links: Callable) -> list[tuple[int, int]]:
+    """Spanning edges, as row numbers, of each run of a table sorted by key."""
+    key = table.column("key").to_numpy()
+    return list(spanning_links(key, np.zeros(len(key), np.int8), links(table)))
+
+
+def partnered(keys: DataFrame, links: Callable, most: int = 4096) -> DataFrame:
+    """key and node of the rows that are linked to another row of equal key; rows of runs of more than
+    `most` rows are all taken as linked. `keys` has key (long), node (long) and what links asks for."""
+
+    def work(batches):
+        for table, is_long in whole_runs(batches, ["key"], most):
+            if not is_long:
+                table = repeated_rows(table)
+                ends = np.unique(np.array(run_edges(table, links), np.int64).reshape(-1))
+                table = table.take(pa.array(ends))
+            for batch in table.select(["key", "node"]).combine_chunks().to_batches():
+                yield batch
+
+    return sorted_runs(keys).mapInArrow(work, "key long, node long")
+
+
 def candidate_edges(keys: DataFrame, near: Callable, name: str, most: int = 4096) -> DataFrame:
-    """Edges (a, b) that span, in each set of rows with equal `key`, the pairs that are near.
+    """linked_edges of rows with a sketch; `near(sketches)` returns the function `linked(i, j)`."""
+    return linked_edges(keys, lambda table: near(table.column("sketch")), name, most)
+
+
+def linked_edges(rows: DataFrame, links: Callable, name: str, most: int = 4096) -> DataFrame:
+    """Edges (a, b) that span, in each set of rows with equal `key`, the pairs that are linked.
 
-    `keys` has key (long), node (long) and sketch (bytes or a long); `near(sketches)` returns the function
+    `rows` has key (long), node (long) and what links asks for; `links(table)` returns the function
     `linked(i, j)`. Runs of more than `most` rows pass through and are compared in pairs of blocks.
     """
-    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_keys = keys.repartition(parts, "key").sortWithinPartitions("key")
-    kind = keys.schema["sketch"].dataType
-    empty_sketch = pa.binary() if kind.typeName() == "binary" else pa.int64()
-    fields = f"a long, b long, key long, sketch {kind.simpleString()}"
+    fields = [f for f in rows.schema.fields if f.name not in ("key", "node")]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
+    names = [f.name for f in fields]
 
     def work(batches):
         for table, is_long in whole_runs(batches, ["key"], most):
+            payload = [table.column(n) for n in names]
             if is_long:
-                node = table.column("node").combine_chunks()
                 empty = pa.nulls(table.num_rows, pa.int64())
-                columns = [node, empty, table.column("key").combine_chunks(), table.column("sketch").combine_chunks()]
+                columns = [table.column("node").combine_chunks(), empty, table.column("key").combine_chunks()]
+                columns += [c.combine_chunks() for c in payload]
             else:
-                key = table.column("key").to_numpy()
-                repeated = np.zeros(len(key), bool)
-                same = key[1:] == key[:-1]
-                repeated[1:] |= same
-                repeated[:-1] |= same
-                table = table.filter(pa.array(repeated))
-                key = key[repeated]
-                side = np.zeros(len(key), np.int8)
-                linked = near(table.column("sketch"))
-                edges = list(spanning_links(key, side, linked))
-                found = edge_batch(table.column("node"), edges)
-                blank = pa.nulls(found.num_rows, pa.int64()), pa.nulls(found.num_rows, empty_sketch)
+                table = repeated_rows(table)
+                found = edge_batch(table.column("node"), run_edges(table, links))
+                blank = [pa.nulls(found.num_rows, t) for t in (pa.int64(), *[c.type for c in payload])]
                 columns = [*found.columns, *blank]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "key", "sketch"])
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "key", *names])
 
-    found = stored(sorted_keys.mapInArrow(work, fields), name)
-    long_rows = found.where("key is not null").select("key", F.col("a").alias("node"), "sketch")
-    rest = compared(long_rows, "key", "node", lambda table: near(table.column("sketch")), most)
+    found = stored(sorted_runs(rows.select("key", "node", *names)).mapInArrow(work, f"a long, b long, key long, {kinds}"), name)
+    long_rows = found.where("key is not null").select("key", F.col("a").alias("node"), *names)
+    rest = compared(long_rows, "key", "node", links, most)
     return found.where("key is null").select("a", "b").union(rest)

@@ -4,8 +4,9 @@ Lines are the parts of a text between newlines. They are compared in lower case
 blanks as one space and none at the ends; a line without anything else is left alone. A line's set
 are its runs of SHINGLE characters, or the whole of a shorter line. Equal lines are one class; each
 class has BANDS keys of BAND_ROWS MinHashes each (a pair at a similarity of 0.8 shares none about
-once in 800, at 0.9 once in two million). Classes that share a key and are near by a sketch of all
-their MinHashes span coarse groups, in which the full sets of all members are compared.
+once in 800, at 0.9 once in two million). A sketch of all its MinHashes tells which classes have a
+near one among those that share a key with them; only their lines are read again, once, and go to
+each of these keys. There near lines that are not connected yet are compared by their full sets.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .groups import candidate_edges, compared, components
+from .groups import components, linked_edges, partnered
 from .store import stored
 from .words import blocks, mix, stream, text_buffers
 
@@ -283,12 +284,15 @@ def similar_lines(table: pa.Table, percent: int, shingle: int = SHINGLE) -> Call
 
 
 def texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, group, sketch and text for the wanted lines (and their doc_id, version and line)."""
-    one = F.struct("line", "node", "group", "sketch")
+    """key, node, sketch and text for the wanted lines (their doc_id, version and line), one row for
+    each of their keys."""
+    one = F.struct("line", "node", "keys", "sketch")
     asked = wanted.groupBy("doc_id", "version").agg(F.collect_list(one).alias("asked"))
-    parts = versions(documents).join(asked, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
+    parts = versions(documents).join(asked.hint("shuffle_hash"), ["doc_id", "version"])
     parts = parts.select(F.split("text", "\n").alias("parts"), F.explode("asked").alias("one"))
-    return parts.select("one.node", "one.group", "one.sketch", F.get("parts", F.col("one.line")).alias("text"))
+    lines = parts.select("one.node", "one.sketch", "one.keys", F.get("parts", F.col("one.line")).alias("text"))
+    lines = lines.dropDuplicates(["node"])  # rows may repeat a document
+    return lines.select(F.explode("keys").alias("key"), "node", "sketch", "text")
 
 
 def line_verdicts(documents: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
@@ -301,11 +305,11 @@ def line_verdicts(documents: DataFrame, percent: int = 80, shingle: int = SHINGL
     owner = F.min(F.struct("doc_id", "version", "line")).alias("owner")
     classes = found.groupBy("print").agg(owner, F.min("sketch").alias("sketch"), F.min("keys").alias("keys"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "line-classes")
-    coarse = components(candidate_edges(probes(classes), near_sketches, "near-lines"), "coarse-lines")
-    members = coarse.join(classes, "node").select("node", "sketch", F.xxhash64("root").alias("group"), "owner.*")
-    texts = stored(texts_of(documents, members), "line-texts")
-    links = compared(texts, "group", "node", lambda table: similar_lines(table, percent, shingle))
-    linked = components(stored(links, "line-links"), "linked-lines")
+    near = stored(partnered(probes(classes), lambda table: near_sketches(table.column("sketch"))), "near-lines")
+    asked = near.groupBy("node").agg(F.collect_list("key").alias("asked"))
+    wanted = classes.drop("keys").join(asked, "node").select("node", "sketch", F.col("asked").alias("keys"), "owner.*")
+    links = linked_edges(texts_of(documents, wanted), lambda table: similar_lines(table, percent, shingle), "line-links")
+    linked = components(links, "linked-lines")
     firsts = linked.join(classes, "node").groupBy("root").agg(F.min("owner").alias("first"))
     named = linked.join(firsts, "root").select("node", "first")
     named = classes.join(named, "node", "left").select("print", F.coalesce("first", "owner").alias("first"))
@@ -314,6 +318,26 @@ def line_verdicts(documents: DataFrame, percent: int = 80, shingle: int = SHINGL
     return rows.select("doc_id", "version", "line", (here == F.col("first")).alias("first"))
 
 
+def cut_lines(rows: DataFrame) -> DataFrame:
+    """The same columns; the texts without the lines numbered in `gone`."""
+
+    def work(batches):
+        for batch in blocks(batches):
+            texts = batch.column("text")
+            lost = batch.column("gone")
+            if lost.null_count < len(lost):
+                whole, numbers = texts.to_pylist(), lost.to_pylist()
+                for k, drop in enumerate(numbers):
+                    if drop:
+                        drop = set(drop)
+                        whole[k] = "\n".join([line for i, line in enumerate(whole[k].split("\n")) if i not in drop])
+                texts = pa.array(whole, pa.string())
+            columns = [texts if name == "text" else batch.column(name) for name in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return rows.mapInArrow(work, rows.schema)
+
+
 def deduplicated(documents: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
     """All columns of documents with the text of the lines that stay, and `__lines`, `__removed`.
 
@@ -324,29 +348,23 @@ def deduplicated(documents: DataFrame, percent: int = 80, shingle: int = SHINGLE
     the two added ones are replaced. An empty table gives no rows.
     """
     gone = line_verdicts(documents, percent, shingle).where("not first")
-    gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("version").alias("__version"))
-    gone = gone.agg(F.collect_set("line").alias("__gone"))
-    rows = documents.drop("__lines", "__removed")
-    version = F.xxhash64(F.col("text").cast("string"))
-    match = (F.col("doc_id").cast("long") == F.col("__id")) & (version == F.col("__version"))
-    rows = rows.join(gone, match, "left").drop("__id", "__version")
-    rows = rows.withColumn("__removed", F.coalesce(F.size("__gone"), F.lit(0)))
-    rows = rows.withColumn("__lines", F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(0)))
-    rows = rows.withColumn("__drop", F.when(F.col("__removed") > 0, F.col("__gone"))).drop("__gone")
-    at = rows.columns.index("text")
-    drop = rows.columns.index("__drop")
-
-    def work(batches):
-        for batch in blocks(batches):
-            texts = batch.column(at).to_pylist()
-            for k, lost in enumerate(batch.column(drop).to_pylist()):
-                if lost:
-                    lost = set(lost)
-                    texts[k] = "\n".join([line for i, line in enumerate(texts[k].split("\n")) if i not in lost])
-            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns) if i != drop]
-            yield pa.RecordBatch.from_arrays(columns, [c for c in batch.schema.names if c != "__drop"])
-
-    return rows.mapInArrow(work, rows.drop("__drop").schema)
+    gone = gone.groupBy("doc_id", "version").agg(F.collect_set("line").alias("gone"))
+    others = [c for c in documents.columns if c not in ("text", "__lines", "__removed")]
+    rows = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(F.col("text").cast("string")).alias("version"),
+        F.col("text").cast("string").alias("text"),
+        F.struct(*others).alias("row"),
+    )
+    rows = rows.join(gone.hint("shuffle_hash"), ["doc_id", "version"], "left").select("text", "row", "gone")
+
+    n_lines = F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(0))
+    counted = rows.select("text", "row", "gone", n_lines.alias("lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("removed"))
+    return cut_lines(counted).select(
+        *[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in documents.columns if c not in ("__lines", "__removed")],
+        F.col("lines").alias("__lines"),
+        F.col("removed").alias("__removed"),
+    )
 
 
 def without_repeated_lines(documents: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:

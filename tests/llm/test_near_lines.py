@@ -1,9 +1,12 @@
+import random
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from . import brute
 from .brute import SMALL, prose
-from pawledger.llm import near_lines, queries
+from pawledger.llm import groups, near_lines, queries
 from pawledger.llm.near_lines import char_codes, deduplicated, lines, shingles, without_repeated_lines
 
 
@@ -68,3 +71,50 @@ def test_bad_bytes():
     chars, starts, _, _ = lines(data)
     assert len(chars) == 3 and starts.tolist() == [0, 3]
     assert near_lines.min_hashes(*shingles(char_codes(chars), starts)).shape == (1, near_lines.HASHES)
+
+
+def test_clashing_names_stay(spark):
+    """Columns named like those of intermediate steps keep their values."""
+    names = ["__id", "__version", "__gone", "__drop", "version", "row", "gone", "lines", "removed", "node", "key"]
+    line = "the quick brown fox jumps over the lazy dog and runs away from here at once"
+    rows = [(k, f"{line}\nonly {k} here", *[f"{n}{k}" for n in names]) for k in range(4)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    found = {r.doc_id: r for r in near_lines.without_repeated_lines(table).collect()}
+    assert [found[k].text.count("\n") for k in range(4)] == [1, 0, 0, 0]
+    for k in range(4):
+        assert [found[k][n] for n in names] == [f"{n}{k}" for n in names]
+
+
+def test_chains_of_lines_cost_in_proportion(spark):
+    """A long chain of lines, each near the next one only: all are linked, and the pairs compared and
+    the lines read again grow with the lines, not with their square."""
+    rng = random.Random(2)
+    compared = {}
+    for n in (500, 2000):
+        words = [f"{rng.randrange(10**6):06d}" for _ in range(n + 40)]
+        rows = [(k, " ".join(words[k : k + 40])) for k in range(n)]
+        table = spark.createDataFrame(rows, "doc_id long, text string")
+        lines = near_lines.line_table(table, 5)
+        classes = lines.withColumn("node", F.monotonically_increasing_id())
+        links = lambda rows: near_lines.near_sketches(rows.column("sketch"))
+        compared[n] = groups.partnered(near_lines.probes(classes), links).count()
+        kept = near_lines.line_verdicts(table, 80, 5).where("first").count()
+        assert kept < n / 20
+    assert compared[2000] < 6 * compared[500] < 6 * 10 * 500
+
+
+def test_recall_at_the_threshold():
+    """Of pairs at a similarity of 0.8, few share no key or have far sketches."""
+    rng = np.random.default_rng(5)
+    pairs = 4000
+    shared = rng.integers(0, 2**63, (pairs, 80), np.int64).astype(np.uint64)
+    own = rng.integers(0, 2**63, (pairs, 20), np.int64).astype(np.uint64)
+    one, two = np.concatenate((shared, own[:, :10]), axis=1), np.concatenate((shared, own[:, 10:]), axis=1)
+    bounds = np.arange(pairs + 1) * 90
+    low = [near_lines.min_hashes(side.ravel(), bounds) for side in (one, two)]
+    keys = [near_lines.band_keys(x) for x in low]
+    sketches = [near_lines.sketch(x) for x in low]
+    differ = sketches[0] ^ sketches[1]
+    differ = (differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)
+    met = (keys[0] == keys[1]).any(axis=1) & (np.bitwise_count(differ) <= near_lines.DISTANCE)
+    assert pairs - int(met.sum()) <= pairs // 200
