@@ -35,6 +35,8 @@ FLIPS = (stream(21, FUNCTIONS) >> np.uint64(32)).astype(np.uint32)
 FACTORS = (stream(22, FUNCTIONS) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 #: Values hashed at once, so that they stay in the cache.
 CACHED = 1 << 15
+#: 64-bit words of the parity of a line's set; a power of two.
+PARITY_WORDS = 8
 #: Two codes for each of the first places of a line.
 PLACES = 1 << 12
 PLACE_CODES = (stream(24, PLACES) | np.uint64(1), stream(25, PLACES) | np.uint64(1))
@@ -259,20 +261,42 @@ def near_sketches(sketches: pa.ChunkedArray) -> Callable:
     return linked
 
 
+def parities(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """PARITY_WORDS * 64 bits for each distinct set: each element turns one bit over. Two of them differ
+    in at most as many bits as elements are in one set only."""
+    out = np.zeros((len(bounds) - 1, PARITY_WORDS), np.uint64)
+    full = np.flatnonzero(np.diff(bounds))
+    bit = np.uint64(1) << (values & np.uint64(63))
+    word = (values >> np.uint64(6)) & np.uint64(PARITY_WORDS - 1)
+    for k in range(PARITY_WORDS if len(full) else 0):
+        out[full, k] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), bounds[full])
+    return out
+
+
 def similar_lines(table: pa.Table, percent: int, shingle: int = SHINGLE) -> Callable:
-    """Tells which pairs have 100 * intersection >= percent * union of their shingle sets."""
+    """Tells which pairs have 100 * intersection >= percent * union of their shingle sets.
+
+    Pairs whose parities show that too many elements differ are not compared further.
+    """
     near = near_sketches(table.column("sketch"))
     chars, starts, _, _ = lines(table.column("text").combine_chunks())
     values, bounds = shingles(char_codes(chars), starts, shingle)
     sets = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        found = np.sort(values[a:b])
+        found = values[a:b]
+        found.sort()
         sets.append(found[np.concatenate(([True], found[1:] != found[:-1]))] if b > a else found)
     sizes = np.array([len(s) for s in sets], np.int64)
+    parity = parities(np.concatenate([*sets, values[:0]]), np.concatenate(([0], np.cumsum(sizes))))
 
     def linked(i, j):
         small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
         hit = (100 * small >= percent * large) & near(i, j)
+        some = np.flatnonzero(hit)
+        # With d elements in one set only, 100 * intersection >= percent * union is
+        # (100 + percent) * d <= (100 - percent) * (sum of the sizes).
+        differ = np.bitwise_count(parity[i[some]] ^ parity[j[some]]).sum(axis=1, dtype=np.int64)
+        hit[some] = (100 + percent) * differ <= (100 - percent) * (small + large)[some]
         for k in np.flatnonzero(hit):
             both = np.concatenate((sets[i[k]], sets[j[k]]))
             both.sort()
@@ -307,14 +331,14 @@ def line_verdicts(documents: DataFrame, percent: int = 80, shingle: int = SHINGL
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "line-classes")
     near = stored(partnered(probes(classes), lambda table: near_sketches(table.column("sketch"))), "near-lines")
     asked = near.groupBy("node").agg(F.collect_list("key").alias("asked"))
-    wanted = classes.drop("keys").join(asked, "node").select("node", "sketch", F.col("asked").alias("keys"), "owner.*")
+    wanted = classes.drop("keys").join(asked.hint("shuffle_hash"), "node").select("node", "sketch", F.col("asked").alias("keys"), "owner.*")
     links = linked_edges(texts_of(documents, wanted), lambda table: similar_lines(table, percent, shingle), "line-links")
     linked = components(links, "linked-lines")
-    firsts = linked.join(classes, "node").groupBy("root").agg(F.min("owner").alias("first"))
+    firsts = classes.join(linked.hint("shuffle_hash"), "node").groupBy("root").agg(F.min("owner").alias("first"))
     named = linked.join(firsts, "root").select("node", "first")
-    named = classes.join(named, "node", "left").select("print", F.coalesce("first", "owner").alias("first"))
+    named = classes.join(named.hint("shuffle_hash"), "node", "left").select("print", F.coalesce("first", "owner").alias("first"))
     here = F.struct("doc_id", "version", "line")
-    rows = found.select("doc_id", "version", "line", "print").join(named, "print")
+    rows = found.select("doc_id", "version", "line", "print").join(named.hint("shuffle_hash"), "print")
     return rows.select("doc_id", "version", "line", (here == F.col("first")).alias("first"))
 
 

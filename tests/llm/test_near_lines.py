@@ -118,3 +118,13 @@ def test_recall_at_the_threshold():
     differ = (differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)
     met = (keys[0] == keys[1]).any(axis=1) & (np.bitwise_count(differ) <= near_lines.DISTANCE)
     assert pairs - int(met.sum()) <= pairs // 200
+
+
+def test_parities_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        base = rng.integers(0, 2**63, 120, np.int64).astype(np.uint64)
+        one, two = np.unique(base[rng.random(120) < 0.7]), np.unique(base[rng.random(120) < 0.7])
+        both = near_lines.parities(np.concatenate((one, two)), np.array([0, len(one), len(one), len(one) + len(two)]))
+        assert not both[1].any()
+        assert 0 < np.bitwise_count(both[0] ^ both[2]).sum() <= len(np.setxor1d(one, two))
