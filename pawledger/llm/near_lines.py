@@ -308,15 +308,13 @@ def similar_lines(table: pa.Table, percent: int, shingle: int = SHINGLE) -> Call
 
 
 def texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, node, sketch and text for the wanted lines (their doc_id, version and line), one row for
-    each of their keys."""
+    """node, sketch, keys and text for the wanted lines (their doc_id, version and line)."""
     one = F.struct("line", "node", "keys", "sketch")
     asked = wanted.groupBy("doc_id", "version").agg(F.collect_list(one).alias("asked"))
     parts = versions(documents).join(asked.hint("shuffle_hash"), ["doc_id", "version"])
     parts = parts.select(F.split("text", "\n").alias("parts"), F.explode("asked").alias("one"))
     lines = parts.select("one.node", "one.sketch", "one.keys", F.get("parts", F.col("one.line")).alias("text"))
-    lines = lines.dropDuplicates(["node"])  # rows may repeat a document
-    return lines.select(F.explode("keys").alias("key"), "node", "sketch", "text")
+    return lines.dropDuplicates(["node"])  # rows may repeat a document
 
 
 def line_verdicts(documents: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
@@ -332,7 +330,9 @@ def line_verdicts(documents: DataFrame, percent: int = 80, shingle: int = SHINGL
     near = stored(partnered(probes(classes), lambda table: near_sketches(table.column("sketch"))), "near-lines")
     asked = near.groupBy("node").agg(F.collect_list("key").alias("asked"))
     wanted = classes.drop("keys").join(asked.hint("shuffle_hash"), "node").select("node", "sketch", F.col("asked").alias("keys"), "owner.*")
-    links = linked_edges(texts_of(documents, wanted), lambda table: similar_lines(table, percent, shingle), "line-links")
+    texts = stored(texts_of(documents, wanted), "line-texts")
+    met = texts.select(F.explode("keys").alias("key"), "node", "sketch", "text")
+    links = linked_edges(met, lambda table: similar_lines(table, percent, shingle), "line-links")
     linked = components(links, "linked-lines")
     firsts = classes.join(linked.hint("shuffle_hash"), "node").groupBy("root").agg(F.min("owner").alias("first"))
     named = linked.join(firsts, "root").select("node", "first")
