@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .columns import hash_sample
+from .store import Shipped
 from .token_ids import _total
 from .words import SOLID, UPPER, blocks, lower_code, text_buffers, word_bounds, word_hashes
 
@@ -182,7 +183,7 @@ def scored(documents: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFra
     is false for rows without an id. Repeated rows are scored each. Other columns are ignored; an
     empty table gives no rows.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(fitted(documents, labels))
+    shared = Shipped(documents.sparkSession, fitted(documents, labels))
 
     def work(batches):
         for batch in blocks(batches):

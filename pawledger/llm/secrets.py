@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .columns import hash_sample
+from .store import Shipped
 from .words import LOWER, UPPER, blocks, text_buffers, word_bounds
 
 # The patterns and their least lengths.
@@ -324,7 +325,7 @@ def secrets(documents: DataFrame, model: Model | None = None) -> DataFrame:
     Repeated rows and rows without an id are scanned each. Other columns are ignored; an empty
     table gives no rows.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model or fitted(documents))
+    shared = Shipped(documents.sparkSession, model or fitted(documents))
 
     def work(batches):
         model = shared.value

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
+import sys
 import tempfile
+import types
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -42,3 +46,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Shipped:
+    """A broadcast value whose classes are shipped by value too, so that executors need no copy of this
+    package. A task unpickles it once."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self.found: list = []
+
+    def __getstate__(self) -> dict:
+        return {"data": self.data, "found": []}
+
+    @property
+    def value(self):
+        if not self.found:
+            self.found.append(pickle.loads(self.data.value))
+        return self.found[0]
+
+
+def kept_by_worker(name: str) -> dict:
+    """A dictionary of the Python worker that outlives its tasks. Functions shipped by value have
+    globals of their own in each task, so it lies in a module made on the spot."""
+    return sys.modules.setdefault(f"_kept_{name}", types.ModuleType(f"_kept_{name}")).__dict__

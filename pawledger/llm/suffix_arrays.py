@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .store import Shipped
 from .words import ALNUM, blocks, lower_code, text_buffers, word_bounds, word_hashes
 
 WINDOW = 10
@@ -187,7 +188,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, least: int = WINDOW) ->
 
 
 def _matches(documents: DataFrame, queries: Queries, least: int) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(queries)
+    shared = Shipped(documents.sparkSession, queries)
     first = np.concatenate(([0], np.flatnonzero(np.diff(queries.item)) + 1))
 
     def work(batches):
@@ -266,8 +267,8 @@ def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
 
 
 def _broadcast(documents: DataFrame, benchmark: DataFrame, window: int) -> list:
-    context = documents.sparkSession.sparkContext
-    return [context.broadcast(read_queries(ids, texts, window)) for ids, texts in read_benchmark(benchmark)]
+    spark = documents.sparkSession
+    return [Shipped(spark, read_queries(ids, texts, window)) for ids, texts in read_benchmark(benchmark)]
 
 
 def judge(batch: pa.RecordBatch, parts: list[Queries]) -> tuple[np.ndarray, np.ndarray, list[list]]:

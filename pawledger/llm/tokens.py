@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 
+from .store import kept_by_worker
+
 #: Pieces kept by a worker (some 200 bytes each); when full it starts anew.
 KEPT = 500_000
 LETTER = "A-Za-zÀ-ÖØ-öø-ſ"
@@ -87,10 +88,12 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, PIECE.findall(text)))
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """One encoder for each worker and file."""
-    return Encoder(path)
+    kept = kept_by_worker("encoders")
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def default_path() -> str:
