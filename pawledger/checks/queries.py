@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +14,19 @@ from pawledger.checks import adapters as A
 from pawledger.functions import columns as C
 from pawledger.functions import periods as P
 from pawledger.functions import present
-from pawledger.operators import audit, customers, inventory, lifestage, payments, trends, weekly
+from pawledger.operators import (
+    audit,
+    customers,
+    history,
+    inventory,
+    lifestage,
+    payments,
+    trends,
+    weekly,
+)
 from pawledger.plans import dashboard
-from pawledger.session import CHECKPOINT_DIR
-from pawledger.sources import scans, sinks, views
+from pawledger.session import CHECKPOINT_DIR, ensure_checkpoint_dir
+from pawledger.sources import scans, sinks, tables, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +65,13 @@ def _own_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def _new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own beside the checkpoints, where all executors can read."""
+    _own_checkpoint_dir(spark)
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"
+
+
 def _texts(df: DataFrame, *columns: str) -> DataFrame:
     """List and date columns as text, which every engine prints alike."""
 
@@ -369,6 +386,20 @@ def ad_hoc_sql(spark, d):
     ).withColumn("units_sold", F.col("units_sold").cast("double"))
 
 
+@_query
+def ad_hoc_parameters(spark, d):
+    views.register_views(spark, {"invoices": A.invoices(spark, d)}, prefix="asked_")
+    return views.ask(
+        spark,
+        """WITH shown AS (SELECT * FROM asked_category_normalized
+             WHERE cancelled = 0 AND performed_date >= :first AND performed_date < :after)
+           SELECT clinic_id, COUNT(DISTINCT invoice_id) AS invoice_count,
+             CAST(SUM(CASE WHEN patient_species = :species THEN total END) AS DOUBLE) AS revenue
+           FROM shown GROUP BY clinic_id""",
+        {"first": JULY.start, "after": JULY.end, "species": "Feline"},
+    )
+
+
 @_query
 def ad_hoc_discount_and_tax(spark, d):
     views.register_views(spark, {"invoices": A.invoices(spark, d)}, prefix="lines_")
@@ -435,6 +466,15 @@ def species_for_month(spark, d):
     return trends.species_for_month(A.invoices(spark, d), YEAR, MONTH)
 
 
+@_query
+def species_for_month_stored(spark, d):
+    """The same report over a fact stored by month: one month's folder is read."""
+    path = _new_folder(spark, "fact")
+    sinks.write_fact(A.invoices(spark, d), path)
+    fact = tables.read_table(spark, "invoices", {"path": path})
+    return trends.species_for_month(fact, YEAR, MONTH)
+
+
 @_query
 def species_monthly_trend(spark, d):
     return trends.species_monthly_trend(A.invoices(spark, d), AS_OF)
@@ -622,6 +662,32 @@ def visit_sequence(spark, d):
     return customers.visit_sequence(A.invoices(spark, d))
 
 
+@_query
+def client_state(spark, d):
+    """All clients up to the reference day: a stored state, and three days merged one by one."""
+    path, lines = _new_folder(spark, "clients"), A.invoices(spark, d)
+    day = AS_OF - timedelta(days=3)
+    state = history.advance(lines, path, day)
+    while day < AS_OF:
+        state = history.advance(lines, path, day + timedelta(days=1), since=day)
+        day += timedelta(days=1)
+    return _texts(state, "first_day", "last_day")
+
+
+@_query
+def distinct_clients_by_month(spark, d):
+    """Months as ORs of the days' bitmaps; no line is read a second time."""
+    lines = A.invoices(spark, d)
+    ids = P.exclude_phantom(lines)
+    numbers = history.numbered(ids, _new_folder(spark, "numbers"))
+    days = history.day_bitmaps(lines, numbers, dims={"species": "patient_species"})
+    path = _new_folder(spark, "bitmaps")
+    days.write.parquet(path)
+    stored = spark.read.schema(days.schema).parquet(path)
+    month = F.year("day") * 100 + F.month("day")
+    return history.distinct_counts(stored, {"month": month, "species": "species"})
+
+
 @_query
 def visit_ranked(spark, d):
     return _texts(customers.visit_ranked(A.invoices(spark, d), 3), "visit_date")

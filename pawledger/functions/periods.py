@@ -18,6 +18,8 @@ from pawledger.functions.rules import PHANTOM_CLIENT
 
 SERVICE_DATE = "performed_date"
 BILLING_DATE = "invoice_date"
+#: Partition column of a stored fact: year * 100 + month of the service date.
+SERVICE_MONTH = "performed_month"
 
 
 class Period(NamedTuple):
@@ -154,6 +156,28 @@ def in_period(column: str, period: Period | None) -> Column:
     return in_range(column, *(period or (None, None)))
 
 
+def in_months(period: Period) -> Column:
+    """The months that a period touches, on the partition column of a stored fact."""
+    result = F.lit(True)
+    if period.start is not None:
+        result = result & (F.col(SERVICE_MONTH) >= _month_number(period.start))
+    if period.end is not None:
+        last = period.end - timedelta(days=1)
+        result = result & (F.col(SERVICE_MONTH) <= _month_number(last))
+    return result
+
+
+def _month_number(d: date) -> int:
+    return 100 * d.year + d.month
+
+
+def dated(rows: DataFrame, date_col: str, period: Period | None) -> DataFrame:
+    """Rows of a period. Of a fact stored by month of service only its months are read."""
+    found = rows.filter(in_period(date_col, period))
+    by_month = date_col == SERVICE_DATE and SERVICE_MONTH in rows.columns
+    return found.filter(in_months(period)) if period and by_month else found
+
+
 def active(df: DataFrame) -> DataFrame:
     """Rows that were not cancelled."""
     return df.filter(F.col("cancelled") == 0)
@@ -175,4 +199,4 @@ def period_rows(
 ) -> DataFrame:
     """Invoice lines of a period: the common base of the ad-hoc reports."""
     rows = active(invoices) if active_only else invoices
-    return rows.filter(in_period(date_col, period))
+    return dated(rows, date_col, period)

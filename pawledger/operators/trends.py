@@ -104,13 +104,13 @@ def recent_weeks(
         start = P.week_of(P.weeks_back(as_of, weeks_before)).start
         if earliest is not None:
             start = max(start, earliest)
-        dates = rows.filter(P.in_range(date_col, start, end))
+        dates = P.dated(rows, date_col, P.Period(start, end))
         weeks = dates.select(C.week_start(date_col).alias("week")).distinct()
         found += [r["week"] for r in weeks.orderBy(F.desc("week")).limit(n + 1 - len(found)).collect()]
         if len(found) > n or start == earliest:
             return found
         if not oldest_known:
-            first = rows.filter(P.in_range(date_col, end=start)).agg(F.min(C.week_start(date_col))).first()[0]
+            first = P.dated(rows, date_col, P.Period(None, start)).agg(F.min(C.week_start(date_col))).first()[0]
             if first is None:
                 return found
             earliest, oldest_known = max(first, earliest or first), True
@@ -141,7 +141,10 @@ def spine_rows(
     """The lines of the newest n + 1 weeks with rows, with ``week`` and ``prev_week``, the one of
     these weeks before it."""
     weeks = recent_weeks(rows, as_of, n, date_col, lookback_weeks)
-    lines = rows.filter(in_weeks(date_col, weeks, week_period(as_of, lookback_weeks)))
+    period = week_period(as_of, lookback_weeks)
+    lines = rows.filter(in_weeks(date_col, weeks, period))
+    if weeks:
+        lines = P.dated(lines, date_col, P.Period(weeks[-1], period.end))
     before = F.lit(None).cast("date")
     if len(weeks) > 1:
         pairs = [F.lit(day) for pair in zip(weeks[:-1], weeks[1:]) for day in pair]

@@ -65,7 +65,7 @@ def prior_clients(
     before it is made distinct.
     """
     registered = clients.filter(P.in_range("first_activity", end=before))
-    served = P.active(invoices).filter(P.in_range(P.SERVICE_DATE, end=before))
+    served = P.period_rows(invoices, P.Period(None, before))
     ids = registered.select("client_id").union(served.select("client_id"))
     if among is not None:
         ids = ids.join(among.select("client_id").distinct(), "client_id", "left_semi")

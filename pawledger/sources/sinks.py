@@ -1,10 +1,14 @@
-"""Sinks: the tidy export and the run log."""
+"""Sinks: the tidy export, the run log, runs that may be repeated, and the stored fact."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from pawledger.functions import periods as P
+
 PREVIEW_ROWS = 50
 #: Lists merged at once, and how often.
 MERGED, LEVELS = 64, 4
@@ -76,3 +80,38 @@ def shorten_previews(log: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
 def append_run_log(log: DataFrame, path: str, fmt: str = "json") -> None:
     """Append run records with their nested steps; JSON lines or parquet."""
     shorten_previews(log).write.mode("append").format(fmt).save(path)
+
+
+def write_run(rows: DataFrame, path: str, run_id: str, fmt: str = "parquet") -> None:
+    """Add the rows of one run, in a partition ``run_id`` of their own.
+
+    A run that is written again replaces what it wrote before and leaves other
+    runs alone, so a job that failed or ran twice can be repeated. The partition
+    is exchanged when all tasks are done. A run without rows leaves none.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", run_id):
+        raise ValueError(f"a run id has letters, digits, '_', '.' and '-' only: {run_id!r}")
+    seen = Observation()
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("n"))
+    writer = counted.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").format(fmt)
+    if fmt == "csv":
+        writer = writer.option("header", True)
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("run_id").save(path)
+    if seen.get["n"] == 0:
+        rows.limit(0).write.mode("overwrite").format(fmt).save(f"{path}/run_id={run_id}")
+
+
+def write_fact(invoices: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Store invoice lines by month of service; reports then read the months they ask for.
+
+    The months that occur in the lines are replaced whole, others stay as they
+    are. Months are split or put together by their size (rebalance), so neither a
+    large one nor the lines without a date end in one task; inside a file lines
+    are sorted by date.
+    """
+    day = F.col(P.SERVICE_DATE)
+    rows = invoices.withColumn(P.SERVICE_MONTH, F.year(day) * 100 + F.month(day))
+    rows = rows.hint("rebalance", F.col(P.SERVICE_MONTH))
+    writer = rows.sortWithinPartitions(P.SERVICE_MONTH, P.SERVICE_DATE).write.mode("overwrite")
+    writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(P.SERVICE_MONTH)
+    writer.format(fmt).save(path)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import Any
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +14,6 @@ from pawledger.functions import periods as P
 from pawledger.functions import rules
 
 
-# Commands whose parsed plans have these names read nothing but the catalog or a plan.
-SHOWS = ("Show", "Describe", "Explain")
-
-
 def invoice_life_stage(
     invoices: DataFrame,
     patients: DataFrame,
@@ -83,36 +81,25 @@ def register_views(
         df.createOrReplaceTempView(prefix + name)
 
 
-def ask(spark: SparkSession, sql: str) -> DataFrame:
+def ask(
+    spark: SparkSession, sql: str, args: Mapping[str, Any] | Sequence[Any] | None = None
+) -> DataFrame:
     """Result of one read-only statement over the registered views.
 
-    The text is parsed before anything runs: a statement that is a command or an
-    insert anywhere is refused. NULL numbers come back as zero, as in every
-    ad-hoc report.
+    ``args`` fills the statement's parameters: ``:name`` from a mapping, ``?``
+    from a list, as values and never as text. The statement is told by its first
+    word; one that begins with WITH may still end as an insert, and is refused
+    unless it can stand in parentheses, where only a query can. Nothing runs
+    before. NULL numbers come back as zero, as in every ad-hoc report.
     """
     words = sql.split(None, 1)
     first = words[0].upper() if words else ""
-    if first not in rules.READ_ONLY_STATEMENTS or not _only_reads(spark, sql):
+    if first not in rules.READ_ONLY_STATEMENTS:
         raise ValueError(f"only {', '.join(rules.READ_ONLY_STATEMENTS)} are permitted")
-    return spark.sql(sql).na.fill(0)
-
-
-def _only_reads(spark: SparkSession, sql: str) -> bool:
-    """True if Spark's parser finds a query, or a command that only shows or explains."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    if plan.getClass().getSimpleName().startswith(SHOWS):
-        return True
-    logical = "org.apache.spark.sql.catalyst.plans.logical."
-    loader = plan.getClass().getClassLoader()
-    classes = spark._jvm.java.lang.Class
-    writers = [
-        classes.forName(logical + name, True, loader) for name in ("Command", "ParsedStatement")
-    ]
-    nodes = [plan]
-    while nodes:
-        node = nodes.pop()
-        if any(writer.isInstance(node) for writer in writers):
-            return False
-        children = node.children()
-        nodes += [children.apply(i) for i in range(children.size())]
-    return True
+    if first == "WITH":
+        inner = sql.rstrip().rstrip(";")
+        try:
+            spark.sql(f"SELECT * FROM (\n{inner}\n)", args=args)
+        except ParseException as error:
+            raise ValueError("WITH is permitted before a query only") from error
+    return spark.sql(sql, args=args).na.fill(0)

@@ -103,7 +103,11 @@ def test_long_form_reads_the_fact_twice(spark, make, stored, patients):
     assert len([s for s in schemas if "performed_date" in s]) == 2
 
 
-def test_patients_are_joined_once(stored, patients):
+def test_patients_are_joined_once(spark, make, tmp_path, patients):
+    # Two weeks: with one there is nothing to compare, and the plan is empty.
+    days = [{"invoice_id": d, "performed_date": d} for d in ("2024-01-01", "2024-01-09")]
+    make("invoices", days).write.parquet(str(tmp_path / "weeks"))
+    stored = tables.read_table(spark, "invoices", {"path": str(tmp_path / "weeks")})
     text = plan(trends.life_stage_weekly_trend(stored, patients, date(2024, 3, 1)))
     assert len([s for s in re.findall(r"ReadSchema: struct<(.*)>", text) if "birth_date" in s]) == 1
 
