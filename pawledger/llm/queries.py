@@ -41,9 +41,9 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark windows in all documents."""
+    """Benchmark windows in all documents, and the longest verbatim match of each."""
     found = suffix_arrays.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,9 +198,10 @@ def words_sql(text: str, pattern: str) -> str:
 OP3_SQL = f"""
 WITH d AS (SELECT doc_id, {words_sql("text", ALNUM)} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {words_sql("text", ALNUM)} AS w FROM benchmark),
-bw AS (
-  SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS g
+bp AS (
+  SELECT item, n, i AS j, array_to_string(w[i:i + n - 1], ' ') AS g
   FROM (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)
+), bw AS (SELECT DISTINCT item, n, g FROM bp
 ), dw AS (
   SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN (SELECT DISTINCT n FROM bw) k ON len(w) >= n)
@@ -210,10 +211,16 @@ bw AS (
 ), items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
   FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+), diagonals AS (
+  SELECT doc_id, item, n, i - j AS shift, i - row_number() OVER (PARTITION BY doc_id, item, n, i - j ORDER BY i) AS run
+  FROM (SELECT DISTINCT doc_id, item, n, i, j FROM dw JOIN bp USING (n, g))
+), longest AS (
+  SELECT doc_id, max(size) AS longest
+  FROM (SELECT doc_id, count(*) + n - 1 AS size FROM diagonals GROUP BY doc_id, item, n, shift, run) GROUP BY doc_id
 )
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0) AS longest
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 OP5_SQL = f"""

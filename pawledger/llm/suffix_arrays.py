@@ -23,6 +23,8 @@ WINDOW = 10
 #: Text bytes of the benchmark that are held at once; a larger benchmark is done in several passes.
 BENCHMARK_BYTES = 8 << 20
 SHARD_BYTES = 4 << 20
+#: Text bytes of a whole benchmark. All its passes lie in every worker, so a larger one is refused.
+BENCHMARK_MOST = 256 << 20
 
 
 @dataclass
@@ -118,6 +120,34 @@ def search(words: np.ndarray, order: np.ndarray, queries: Queries, deepest: int)
             yield depth, place, low, high
 
 
+def longest(words: np.ndarray, order: np.ndarray, queries: Queries, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the shard and of the benchmark that agree in `least[benchmark place]` words or more,
+    and in how many words they do. A range shrinks as the search goes deeper: what leaves it at some
+    depth agrees in one word less."""
+    parts, held = [], None
+
+    def leave(length, place, low, high):
+        some = (low < high) & (least[place] <= length)
+        at, row = spread(low[some], high[some])
+        parts.append((order[at], place[some][row], np.full(len(at), length)))
+
+    for depth, place, low, high in search(words, order, queries, int(queries.rest.max(initial=1))):
+        if held is not None:
+            length, before, first, last = held
+            found = np.minimum(np.searchsorted(place, before), len(place) - 1)
+            on = place[found] == before
+            found = found[on]
+            leave(length, before[~on], first[~on], last[~on])
+            leave(length, before[on], first[on], low[found])
+            leave(length, before[on], high[found], last[on])
+        held = depth, place, low, high
+    if held is not None:
+        leave(*held)
+    if not parts:
+        parts = [(np.zeros(0, np.int64),) * 3]
+    return tuple(np.concatenate(column) for column in zip(*parts))
+
+
 def bound(words, order, depth, asked, low, high, after: bool) -> np.ndarray:
     """Binary search in ranges of the array that agree before `depth`: the first suffix whose word
     at that depth is not less than (or greater than) the one asked for."""
@@ -161,6 +191,9 @@ def read_benchmark(benchmark: DataFrame, most: int = BENCHMARK_BYTES) -> Iterato
     """The benchmark's ids and texts in passes of bounded size, in the order of the ids."""
     ids, texts, size = [], [], 0
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > BENCHMARK_MOST:
+        raise ValueError(f"the benchmark has {total} bytes of text; up to {BENCHMARK_MOST} are held at once, so split it")
     for row in rows.orderBy("item_id", "text").toLocalIterator():
         if row.item_id is None or row.text is None:
             continue
@@ -174,8 +207,8 @@ def read_benchmark(benchmark: DataFrame, most: int = BENCHMARK_BYTES) -> Iterato
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, least: int = WINDOW) -> DataFrame:
-    """doc_id, item_id, item_word, doc_word, n_words: for each benchmark suffix, its longest verbatim
-    matches in each shard and where they are (words from 0), from `least` words on.
+    """doc_id, item_id, item_word, doc_word, n_words: for each benchmark suffix and document, its longest
+    verbatim match and where it is (words from 0; of several, the first), from `least` words on.
 
     Null texts and ids match nothing; an empty table on either side gives no rows. Repeated rows
     are searched each. Other columns are ignored.
@@ -197,22 +230,18 @@ def _matches(documents: DataFrame, queries: Queries, least: int) -> DataFrame:
         for batch in blocks(batches, most=SHARD_BYTES):
             words, begins, _ = shard_words(batch.column(1), queries)
             order = suffix_array(words, depth)
-            best = {}
-            for length, place, low, high in search(words, order, queries, depth):
-                if length >= least:
-                    best.update(zip(place.tolist(), zip(low.tolist(), high.tolist(), [length] * len(place))))
-            if best:
-                ranges = np.array([(p, *v) for p, v in best.items()], np.int64)
-                at, row = spread(ranges[:, 1], ranges[:, 2])
-                at, place = order[at], ranges[row, 0]
+            at, place, length = longest(words, order, queries, np.full(len(queries.rest), least))
+            if len(at):
                 document = np.searchsorted(begins, at, side="right") - 1
+                best = first_of((place, document), (-length, at))
+                at, place, length, document = at[best], place[best], length[best], document[best]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(document)),
                         pa.array([queries.ids[k] for k in queries.item[place]], pa.string()),
                         pa.array(place - first[queries.item[place]]),
                         pa.array(at - begins[document]),
-                        pa.array(ranges[row, 3]),
+                        pa.array(length),
                     ],
                     ["doc_id", "item_id", "item_word", "doc_word", "n_words"],
                 )
@@ -221,11 +250,27 @@ def _matches(documents: DataFrame, queries: Queries, least: int) -> DataFrame:
     return rows.mapInArrow(work, "doc_id long, item_id string, item_word long, doc_word long, n_words long")
 
 
+def first_of(groups: tuple, by: tuple) -> np.ndarray:
+    """The first row, by the columns `by`, of each group of rows equal in the columns `groups`."""
+    order = np.lexsort((*by[::-1], *groups[::-1]))
+    new = np.ones(len(order), bool)
+    for column in groups:
+        new[1:] &= column[order][1:] == column[order][:-1]
+    new[1:] = ~new[1:]
+    return order[new]
+
+
+MATCHES = pa.list_(pa.struct([("item_id", pa.string()), ("n_words", pa.int64()), ("doc_word", pa.int64()), ("item_word", pa.int64())]))
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and item_ids for each row.
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids, longest and matches for each
+    row.
 
     A window is `window` consecutive words of an item, or the whole of a shorter one. A word inside
-    any occurrence of a window is hit. Null and empty texts have no words and are clean; so is
+    any occurrence of a window is hit. `matches` has, for each item found, its longest verbatim match
+    and where it is: item_id, n_words, doc_word, item_word (words from 0; of several, the first).
+    `longest` is the largest n_words, 0 without a match. Null and empty texts have no words and are clean; so is
     everything if the benchmark is empty or has no words. Items with a null id or text are left
     out; an item_id that repeats counts once. Repeated rows are judged each. Other columns are
     ignored.
@@ -241,21 +286,29 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
                     pa.array(sizes),
                     pa.array(n_hit),
                     pa.array([len(s) for s in found], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(s).encode()).hexdigest() for s in found], pa.string()),
+                    pa.array([hashlib.sha256(",".join(sorted(s)).encode()).hexdigest() for s in found], pa.string()),
                     pa.array(n_hit > 0),
-                    pa.array(found, pa.list_(pa.string())),
+                    pa.array([sorted(s) for s in found], pa.list_(pa.string())),
+                    pa.array([max((-n for n, _, _ in s.values()), default=0) for s in found], pa.int64()),
+                    pa.array([[(item, -n, *place) for item, (n, *place) in sorted(s.items())] for s in found], MATCHES),
                 ],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids"],
+                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "longest", "matches"],
             )
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(
-        work, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>"
+        work,
+        "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, "
+        "longest long, matches array<struct<item_id: string, n_words: long, doc_word: long, item_word: long>>",
     )
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without a hit, row by row and with all their columns."""
+    """The documents without a hit, row by row and with all their columns.
+
+    Null and empty texts stay, very long ones are judged whole, repeated rows each. An empty table on
+    either side is no error: nothing is left, or everything.
+    """
     shared = _broadcast(documents, benchmark, window)
 
     def work(batches):
@@ -271,25 +324,29 @@ def _broadcast(documents: DataFrame, benchmark: DataFrame, window: int) -> list:
     return [Shipped(spark, read_queries(ids, texts, window)) for ids, texts in read_benchmark(benchmark)]
 
 
-def judge(batch: pa.RecordBatch, parts: list[Queries]) -> tuple[np.ndarray, np.ndarray, list[list]]:
-    """Words, hit words and item ids found of each document of a shard."""
+def judge(batch: pa.RecordBatch, parts: list[Queries]) -> tuple[np.ndarray, np.ndarray, list[dict]]:
+    """Words and hit words of each document of a shard, and its items: for each id the longest match
+    (-length, document word, item word)."""
     text = batch.column(batch.schema.get_field_index("text"))
-    items: list[set] = [set() for _ in range(batch.num_rows)]
+    items: list[dict] = [{} for _ in range(batch.num_rows)]
     hit = None
     for queries in parts:
         words, begins, sizes = shard_words(text, queries)
         hit = np.zeros(len(words) + 1, np.int64) if hit is None else hit
-        longest = int(queries.window.max(initial=0))
-        order = suffix_array(words, longest)
-        for length, place, low, high in search(words, order, queries, longest):
-            asked = queries.window[place] == length
-            at, row = spread(low[asked], high[asked])
-            at, place = order[at], place[asked][row]
-            marks = np.unique(at)
-            hit[marks] += 1
-            hit[marks + length] -= 1
-            document = np.searchsorted(begins, at, side="right") - 1
-            for pair in np.unique(document * len(queries.ids) + queries.item[place]).tolist():
-                items[pair // len(queries.ids)].add(queries.ids[pair % len(queries.ids)])
+        order = suffix_array(words, int(queries.rest.max(initial=1)))
+        least = np.where(queries.window > 0, queries.window, len(queries.rest) + 1)
+        at, place, length = longest(words, order, queries, least)
+        window = queries.window[place]
+        once = first_of((at, window), ())
+        np.add.at(hit, at[once], 1)
+        np.add.at(hit, at[once] + window[once], -1)
+        document = np.searchsorted(begins, at, side="right") - 1
+        item = queries.item[place]
+        begin = np.concatenate(([0], np.flatnonzero(np.diff(queries.item)) + 1))
+        doc_word, item_word = at - begins[document], place - begin[item]
+        best = first_of((document, item), (-length, doc_word, item_word))
+        for k, i, *match in zip(*(column[best].tolist() for column in (document, item, -length, doc_word, item_word))):
+            name = queries.ids[i]
+            items[k][name] = min(items[k].get(name, tuple(match)), tuple(match))
     inside = np.concatenate(([0], np.cumsum(np.cumsum(hit[:-1]) > 0)))
-    return sizes, inside[begins + sizes] - inside[begins], [sorted(s) for s in items]
+    return sizes, inside[begins + sizes] - inside[begins], items

@@ -95,3 +95,51 @@ def test_longest_matches(table, spark):
     for doc, at, place, n in got:
         if doc == 1:
             assert words[place : place + n] == item[at : at + n]
+
+
+def brute_longest(text, passage, least):
+    """The longest run of words that a text and a passage share: (-length, text word, passage word)."""
+    a, b = brute.re.findall(brute.ALNUM, brute.lower(text)), brute.re.findall(brute.ALNUM, brute.lower(passage))
+    best, before = (0, 0, 0), [0] * (len(b) + 1)
+    for i, word in enumerate(a):
+        now = [0] * (len(b) + 1)
+        for j, other in enumerate(b):
+            if word == other:
+                now[j + 1] = before[j] + 1
+                best = min(best, (-now[j + 1], i - now[j + 1] + 1, j - now[j + 1] + 1))
+        before = now
+    return best if -best[0] >= min(least, len(b)) > 0 else None
+
+
+def test_longest_match_of_each_document_and_item(table, spark):
+    rng = np.random.default_rng(4)
+    items = [(f"i{k}", " ".join(f"v{x}" for x in rng.integers(0, 3, n))) for k, n in enumerate((3, 9, 10, 14, 25, 40))]
+    rows = [(k, " ".join(f"v{x}" for x in rng.integers(0, 3, 120))) for k in range(12)]
+    rows += [(100 + k, prose(30, k) + " " + " ".join(text.split()[:n]) + " " + prose(9, k)) for k, (_, text) in enumerate(items) for n in (8, 12, 40)]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    found = contamination(table(rows), benchmark).collect()
+    texts = [text for _, text in rows]
+    by_text = {}
+    for r, text in zip(found, texts):
+        by_text[text] = r
+    for text, r in by_text.items():
+        want = {item: brute_longest(text, passage, 10) for item, passage in items}
+        want = {item: m for item, m in want.items() if m}
+        assert {m.item_id: (-m.n_words, m.doc_word, m.item_word) for m in r.matches} == want
+        assert r.item_ids == sorted(want) and r.longest == max((-m[0] for m in want.values()), default=0)
+
+
+def test_longest_matches_of_every_suffix_and_document(table, spark):
+    """Also where a shard has a longer match of the same suffix in another document."""
+    item = prose(30, 2).split()
+    benchmark = spark.createDataFrame([("a", " ".join(item))], "item_id string, text string")
+    rows = [(1, " ".join(item)), (2, "x " + " ".join(item[:12]) + " y"), (3, " ".join(item[4:20]))]
+    got = {(r.doc_id, r.item_word, r.doc_word, r.n_words) for r in matches(table(rows).coalesce(1), benchmark).collect()}
+    want = {(1, k, k, 30 - k) for k in range(21)} | {(2, k, k + 1, 12 - k) for k in range(3)} | {(3, k, k - 4, 20 - k) for k in range(4, 11)}
+    assert got == want
+
+
+def test_a_benchmark_beyond_the_bound_is_refused(table, benchmark, monkeypatch):
+    monkeypatch.setattr(suffix_arrays, "BENCHMARK_MOST", 100)
+    with pytest.raises(ValueError):
+        contamination(table(documents()), benchmark)
