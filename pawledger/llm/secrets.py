@@ -5,9 +5,11 @@ between lower case, upper case and digits, or are long and not a plain sequence.
 convolutional network reads each candidate and the text around it, a long one in overlapping pieces
 of which the largest score counts. It
 is trained on labelled findings of a bounded sample: matches of the patterns and keys made up by
-rule in well-known forms; other runs, words and harmless runs made up by rule are the negatives. Its scores are calibrated on
-findings held out, and the threshold is the largest that keeps the recall asked for; keys made up that are
-no candidates count as lost.
+rule in well-known forms; words, harmless runs made up by rule and those runs of the sample that do
+not look like keys are the negatives: a run that does is unlabelled, as it may be a secret that no
+pattern knows. Its scores are calibrated on findings held out. The threshold is the largest, up to
+one half, that keeps the recall asked for of each form, on keys made up afresh inside texts of the
+sample; those that are no candidates count as lost.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +50,23 @@ BEFORE, INSIDE, AFTER = 24, 40, 16
 WIDTH = BEFORE + INSIDE + AFTER
 EMBED, FILTERS, REACH = 8, 16, 5
 #: Bounds of the training sample: documents, their length, findings of each label, findings made up.
-SAMPLE_DOCUMENTS, SAMPLE_CHARS, SAMPLE_FINDINGS, SAMPLE_MADE = 2000, 20_000, 600, 300
+SAMPLE_DOCUMENTS, SAMPLE_CHARS, SAMPLE_FINDINGS, SAMPLE_MADE = 2000, 20_000, 600, 1600
 RECALL = 0.95
+#: Keys of each form that set the threshold.
+CHECKED = 40
+#: Letters and digits from so many on that change class in a quarter of the steps look like a key.
+STRETCH = 12
+
+BASE62 = string.ascii_letters + string.digits
+LOWER36 = string.ascii_lowercase + string.digits
+#: Heads, characters and lengths of keys made up.
+FORMS = (
+    ("ghp_", BASE62, 36), ("sk-", BASE62, 48), ("xoxb-", string.digits + "-", 24), ("eyJ", BASE62 + "_-", 60),
+    ("", BASE62 + "+/", 40), ("AIza", BASE62 + "_-", 35), ("", BASE62, 16), ("", string.ascii_letters, 24), ("", BASE62, 10),
+    ("sk_live_", BASE62, 24), ("glpat-", BASE62 + "_-", 20), ("npm_", BASE62, 36), ("SG.", BASE62 + "_-", 22),
+    ("", LOWER36, 32), ("", BASE62, 32), ("pk_test_", LOWER36, 24),
+)
+HEADS = tuple(head.encode() for head, _, _ in FORMS if head)
 
 
 def candidates(texts: pa.Array) -> list[list[tuple[int, int, int]]]:
@@ -77,14 +96,28 @@ def candidates(texts: pa.Array) -> list[list[tuple[int, int, int]]]:
             odd = odd_runs(data, starts, ends)
             starts, ends = starts[odd], ends[odd]
         rows = np.searchsorted(bounds, starts, side="right") - 1
+        base = [Inside(spans) for spans in found] if kind == 3 else []
         for row, start, end in zip(rows.tolist(), starts.tolist(), ends.tolist()):
             at = int(bounds[row])
             span = (kind, start - at, end - at)
-            if kind < 3 or not any(a <= span[1] and span[2] <= b for k, a, b in found[row]):
+            if kind < 3 or not base[row].holds(*span[1:]):
                 found[row].append(span)
     return found
 
 
+class Inside:
+    """Tells whether a span lies inside one of some spans, by a binary search."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        ordered = sorted((a, b) for _, a, b in spans)
+        self.starts = [a for a, _ in ordered]
+        self.ends = list(accumulate((b for _, b in ordered), max))
+
+    def holds(self, start: int, end: int) -> bool:
+        k = bisect_right(self.starts, start)
+        return k > 0 and self.ends[k - 1] >= end
+
+
 def odd_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which runs change class or step often enough to be candidates."""
     kind = CLASS[data]
@@ -242,16 +275,63 @@ def calibrate(model: Model, logit: np.ndarray, y: np.ndarray, rounds: int = 200)
 
 
 def made_up(rng: np.random.Generator, n: int) -> list[bytes]:
-    """Random keys in well-known forms."""
-    base = string.ascii_letters + string.digits
-    forms = (("ghp_", base, 36), ("sk-", base, 48), ("xoxb-", string.digits + "-", 24), ("eyJ", base + "_-", 60), ("", base + "+/", 40), ("AIza", base + "_-", 35), ("", base, 16), ("", string.ascii_letters, 24), ("", base, 10))
-    out = []
+    """Random keys, of each of FORMS in turn."""
+    keys = []
     for k in range(n):
-        head, letters, size = forms[k % len(forms)]
-        out.append((head + "".join(rng.choice(list(letters), size))).encode())
+        head, letters, size = FORMS[k % len(FORMS)]
+        keys.append((head + "".join(rng.choice(list(letters), size))).encode())
+    return keys
+
+
+def looks_like_key(run: bytes) -> bool:
+    """Whether a part of a run has a key's head, or its longest stretch of letters and digits changes
+    between lower case, upper case and digits as often as random ones do."""
+    if any(part.startswith(HEADS) for part in re.split(rb"[/=]+", run)):
+        return True
+    stretch = max(re.split(rb"[+/_.=-]+", run), key=len)
+    kind = CLASS[np.frombuffer(stretch, np.uint8)]
+    return len(stretch) >= STRETCH and 4 * np.count_nonzero(kind[1:] != kind[:-1]) >= len(stretch) - 1
+
+
+def placed(rng: np.random.Generator, texts: list[str], runs: list[bytes], paths: bool = False, among: bool = False) -> list[tuple[bytes, tuple] | None]:
+    """Each run put between two words of a text: the text around it and its span, or None if it is no
+    candidate there. With `paths`, every fifth run is the end of a path; with `among`, every third one
+    stands among harmless runs in place of the text."""
+    out = []
+    for k, run in enumerate(runs):
+        raw = texts[k % len(texts)].encode()
+        cut = raw.find(b" ", int(rng.integers(len(raw)))) + 1
+        head = harmless(rng, 8)[7] + b"/key=" if paths and k % 5 == 4 else b""
+        before, after = raw[max(cut - 200, 0) : cut], raw[cut : cut + 200]
+        if among and k % 3 == 1:
+            some = harmless(rng, 9) if k % 2 else [harmless(rng, 9)[8] for _ in range(9)]
+            before, after = b" ".join(some[:5]) + b" ", b" ".join(some[5:])
+        near = before + head
+        text, end = near + run + b" " + after, len(near) + len(run)
+        # Other bytes are no part of a run: one character each keeps the places.
+        (spans,) = candidates(pa.array([re.sub(rb"[\x80-\xff]", b"?", text).decode()], pa.string()))
+        whole = [s for s in spans if s[1] <= len(near) and end <= s[2]]
+        out.append((text, max(whole)) if whole else None)
     return out
 
 
+def threshold(model: Model, found: list[tuple[bytes, tuple] | None], recall: float) -> float:
+    """The largest threshold, up to one half, at which that share of each of FORMS is found; the keys
+    are of each form in turn."""
+    scores = np.array([-1.0 if one is None else model.best(one[0], [one[1]])[0] for one in found])
+    lowest = 0.5
+    for form in range(len(FORMS)):
+        own = scores[form :: len(FORMS)]
+        seen = np.sort(own[own >= 0])
+        lost, may_miss = len(own) - len(seen), int((1 - recall) * len(own))
+        if lost > may_miss:
+            # The recall cannot be had; it is kept among the candidates of this form.
+            may_miss, lost = int((1 - recall) * len(seen)), 0
+        if len(seen):
+            lowest = min(lowest, float(seen[may_miss - lost]))
+    return lowest
+
+
 def harmless(rng: np.random.Generator, n: int) -> list[bytes]:
     """Random runs with digits that are no keys: times, hosts, paths, versions, names."""
     word = lambda: "".join(rng.choice(list(string.ascii_lowercase), int(rng.integers(3, 9))))
@@ -265,6 +345,7 @@ def harmless(rng: np.random.Generator, n: int) -> list[bytes]:
         lambda: f"{word()}={number(1000, 99999)}.{number(10, 99)}",
         lambda: f"{word()}{word().title()}{word().title()}",
         lambda: f"{word()}/{word()}/{word()}_{word()}/{word()}-{word()}/{word()}/{word()}.{word()}",
+        lambda: f"{word()[:int(rng.integers(1, 9))]}{number(10, 999999)}",
     )
     return [forms[k % len(forms)]().encode() for k in range(n)]
 
@@ -284,28 +365,15 @@ def fitted(documents: DataFrame, seed: int = 5) -> Model:
         if len(good) < SAMPLE_FINDINGS and base:
             good += [(raw, s) for s in base]
         if len(bad) < SAMPLE_FINDINGS and len(spans) > len(base):
-            bad += [(raw, s) for s in spans if s[0] == 3]
+            bad += [(raw, s) for s in spans if s[0] == 3 and not looks_like_key(raw[s[1] : s[2]])]
         if len(plain) < SAMPLE_FINDINGS:
             words = [m for m in re.finditer(rb"[A-Za-z0-9+/_.=-]{8,}", raw) if not any(a < m.end() and m.start() < b for _, a, b in spans)]
             if words:
                 word = words[int(rng.integers(len(words)))]
                 plain.append((raw, (3, word.start(), word.end())))
-    made, missed = SAMPLE_MADE if texts else 0, 0
-    for kind, runs in ((good, made_up(rng, made)), (bad, harmless(rng, made))):
-        for k, run in enumerate(runs):
-            raw = texts[k % len(texts)].encode()
-            cut = raw.find(b" ", int(rng.integers(len(raw)))) + 1
-            # Every fifth key is the end of a path.
-            head = harmless(rng, 8)[7] + b"/key=" if kind is good and k % 5 == 4 else b""
-            near = raw[max(cut - 200, 0) : cut] + head
-            text, end = near + run + b" " + raw[cut : cut + 200], len(near) + len(run)
-            # Other bytes are no part of a run: one character each keeps the places.
-            (spans,) = candidates(pa.array([re.sub(rb"[\x80-\xff]", b"?", text).decode()], pa.string()))
-            whole = [s for s in spans if s[1] <= len(near) and end <= s[2]]
-            if whole:
-                kind.append((text, max(whole)))
-            elif kind is good:
-                missed += 1
+    made = SAMPLE_MADE if texts else 0
+    good += [one for one in placed(rng, texts, made_up(rng, made), paths=True, among=True) if one]
+    bad += [one for one in placed(rng, texts, harmless(rng, made), among=True) if one]
     found = good + bad + plain
     windows, owner = [np.zeros((0, WIDTH), np.uint8)], []
     for k, (raw, span) in enumerate(found):
@@ -313,7 +381,10 @@ def fitted(documents: DataFrame, seed: int = 5) -> Model:
         windows.append(views(raw, cut))
         owner += [k] * len(cut)
     labels = np.array([1] * len(good) + [0] * (len(found) - len(good)))
-    return train(np.concatenate(windows), labels, epochs=40, seed=seed, owner=np.array(owner, np.int64), missed=missed)
+    model = train(np.concatenate(windows), labels, epochs=40, seed=seed, owner=np.array(owner, np.int64))
+    if texts:
+        model.threshold = threshold(model, placed(rng, texts, made_up(rng, CHECKED * len(FORMS)), paths=True), RECALL)
+    return model
 
 
 def secrets(documents: DataFrame, model: Model | None = None) -> DataFrame:
