@@ -1,10 +1,11 @@
 """Near-duplicate documents: b-bit MinHash, a multi-index Hamming join, exact Jaccard.
 
-A signature has SYMBOLS symbols of eight bits, the low bits of a MinHash each. It is split
+A signature has SYMBOLS symbols of 16 bits, the low bits of a MinHash each. It is split
 into CHUNKS chunks. Two signatures that differ in at most 2 * CHUNKS - 1 symbols have a chunk
 with at most one difference (pigeonhole), so a chunk is probed once for each symbol left out:
-every such pair shares a key. Pairs that share a key and are near as signatures span coarse
-groups; inside a group all members are compared on their full shingle sets.
+every such pair shares a key, and DISTANCE is no larger. Pairs that share a key and are near as
+signatures, by the low halves of their symbols, span coarse groups; inside a group all members are
+compared on their full shingle sets.
 """
 
 from __future__ import annotations
@@ -20,46 +21,47 @@ from .store import stored
 from .words import blocks, fingerprint, mix, shingle_sets, stream, text_buffers
 
 SHINGLE = 5
-SYMBOLS, CHUNKS = 40, 8
-#: Symbols in which near signatures may differ. The join is sure to find pairs up to
-#: 2 * CHUNKS - 1 = 15; at a similarity of 0.85, six differ on average, and more than 18 do so
-#: about twice in a million.
-DISTANCE = 18
+SYMBOLS, CHUNKS = 40, 10
+#: Symbols in which near signatures may differ; the join finds every such pair. Pairs that differ in
+#: more: at a similarity of 0.85 less than one in a million, at 0.80 about two in 100,000.
+DISTANCE = 2 * CHUNKS - 1
 FLIPS = (stream(11, SYMBOLS) >> np.uint64(32)).astype(np.uint32)[:, None]
 FACTORS = ((stream(12, SYMBOLS) >> np.uint64(32)).astype(np.uint32) | np.uint32(1))[:, None]
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """SYMBOLS symbols of eight bits."""
+    """SYMBOLS symbols of 16 bits."""
     low = np.full(SYMBOLS, 0xFFFFFFFF, np.uint32)
     short = (shingles >> np.uint64(32)).astype(np.uint32)
     for start in range(0, len(short), 4096):
         values = (short[start : start + 4096] ^ FLIPS) * FACTORS
         values ^= values >> np.uint32(15)
         np.minimum(low, (values * np.uint32(0x2C1B3C6D)).min(axis=1), out=low)
-    return (mix(low.astype(np.uint64)) & np.uint64(0xFF)).astype(np.uint8)
+    return (mix(low.astype(np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def signed(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, print (a fingerprint of the set) and sketch (the signature), from doc_id
-    (of any type) and text."""
+    """doc_id, n_shingles, print (a fingerprint of the set), sketch and upper (the low and the high
+    bytes of the signature's symbols), from doc_id (of any type) and text."""
 
     def work(batches):
         for batch in blocks(batches):
             sets = shingle_sets(*text_buffers(batch.column(1)), shingle)
+            symbols = [signature(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([fingerprint(s) for s in sets], pa.binary()),
-                    pa.array([signature(s).tobytes() for s in sets], pa.binary()),
+                    pa.array([(s & np.uint16(0xFF)).astype(np.uint8).tobytes() for s in symbols], pa.binary()),
+                    pa.array([(s >> np.uint16(8)).astype(np.uint8).tobytes() for s in symbols], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "print", "sketch"],
+                ["doc_id", "n_shingles", "print", "sketch", "upper"],
             )
 
     ids = documents.select("doc_id", F.col("text").cast("string"))
     kind = ids.schema["doc_id"].dataType.simpleString()
-    return ids.mapInArrow(work, f"doc_id {kind}, n_shingles long, print binary, sketch binary")
+    return ids.mapInArrow(work, f"doc_id {kind}, n_shingles long, print binary, sketch binary, upper binary")
 
 
 def matrix(sketches: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -73,14 +75,14 @@ def probes(classes: DataFrame) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            table = matrix(batch.column(1), SYMBOLS).astype(np.uint64)
+            table = matrix(batch.column(1), SYMBOLS) | matrix(batch.column(2), SYMBOLS).astype(np.uint64) << np.uint64(8)
             keys = np.empty((batch.num_rows, SYMBOLS), np.uint64)
             for chunk in range(CHUNKS):
                 for left_out in range(width):
                     value = np.full(batch.num_rows, chunk * width + left_out, np.uint64)
                     for i in range(width):
                         if i != left_out:
-                            value = value << np.uint64(8) | table[:, chunk * width + i]
+                            value = value << np.uint64(16) | table[:, chunk * width + i]
                     keys[:, chunk * width + left_out] = value
             rows = pa.array(np.repeat(np.arange(batch.num_rows), SYMBOLS))
             yield pa.RecordBatch.from_arrays(
@@ -88,7 +90,7 @@ def probes(classes: DataFrame) -> DataFrame:
                 ["key", "node", "sketch"],
             )
 
-    return classes.select("node", "sketch").mapInArrow(work, "key long, node long, sketch binary")
+    return classes.select("node", "sketch", "upper").mapInArrow(work, "key long, node long, sketch binary")
 
 
 def near_signatures(sketches: pa.ChunkedArray) -> Callable:
@@ -150,7 +152,8 @@ def _verdicts(documents: DataFrame, percent: int, shingle: int) -> DataFrame:
     """near_duplicates with a doc_id of any type that has an order."""
     rows = stored(signed(documents, shingle), "signed")
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("print")
-    classes = classes.agg(F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch"))
+    # Equal sets have equal signatures, so any of them will do.
+    classes = classes.agg(F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch"), F.min("upper").alias("upper"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     coarse = components(candidate_edges(probes(classes), near_signatures, "near"), "coarse")
     members = coarse.join(classes, "node").withColumn("group", F.xxhash64("root"))
@@ -182,11 +185,12 @@ def without_duplicates(documents: DataFrame, percent: int = 80, shingle: int = S
         F.xxhash64(F.col("text").cast("string")).alias("version"),
     )
     verdicts = _verdicts(documents.select(own.alias("doc_id"), "text"), percent, shingle).where("n_shingles > 0")
-    found = verdicts.groupBy(F.col("doc_id").alias("__own")).agg(F.first("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows"))
-    found = stored(found.where("not __kept or __rows > 1"), "duplicates")
-    match = own == F.col("__own")
-    single = documents.join(found.select("__own"), match, "left_anti")
-    repeated = found.where("__kept").select("__own")
+    found = verdicts.groupBy(F.col("doc_id").alias("own")).agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    found = stored(found.where("not kept or n > 1"), "duplicates")
+    # The row is one column, so that its names cannot clash with those added.
+    boxed = documents.select(own.alias("own"), F.struct(*documents.columns).alias("row"))
+    single = boxed.join(found.select("own"), "own", "left_anti").select("row.*")
+    repeated = found.where("kept").select("own")
     if repeated.isEmpty():
         return single
-    return single.union(documents.join(repeated, match).dropDuplicates(["__own"]).drop("__own"))
+    return single.union(boxed.join(repeated, "own").dropDuplicates(["own"]).select("row.*"))

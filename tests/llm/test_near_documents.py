@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -134,3 +136,28 @@ def test_one_row_of_each_group_stays(table):
         sorted([first, (None, y), (7, None), (7, None), (8, "")], key=str) for first in ((5, x), (5, x + " end"))
     ]
     assert near(table([])).count() == 0
+
+
+def test_the_threshold_is_guaranteed():
+    """No pair within the distance lacks a key; few pairs at the similarity lie beyond the distance."""
+    size, far = near_documents.SYMBOLS, near_documents.DISTANCE
+    assert far <= 2 * near_documents.CHUNKS - 1 and size % near_documents.CHUNKS == 0
+
+    def beyond(differ):
+        return sum(math.comb(size, k) * differ**k * (1 - differ) ** (size - k) for k in range(far + 1, size + 1))
+
+    assert beyond(0.15) < 1e-6 and beyond(0.2) < 3e-5
+
+
+def test_recall_at_the_threshold(spark):
+    rng = np.random.default_rng(6)
+    for common, own in ((80, 10), (85, 8)):
+        pairs = []
+        for _ in range(300):
+            base = rng.integers(0, 2**63, common, np.int64).astype(np.uint64)
+            pairs += [near_documents.signature(np.concatenate((base, rng.integers(0, 2**63, own, np.int64).astype(np.uint64)))) for _ in range(2)]
+        rows = [(k, (s & 255).astype(np.uint8).tobytes(), (s >> 8).astype(np.uint8).tobytes()) for k, s in enumerate(pairs)]
+        keys = near_documents.probes(spark.createDataFrame(rows, "node long, sketch binary, upper binary").coalesce(1))
+        edges = groups.candidate_edges(keys, near_documents.near_signatures, "test")
+        roots = {r.node: r.root for r in groups.components(edges, "test").collect()}
+        assert all(roots.get(2 * k, -1) == roots.get(2 * k + 1, -2) == 2 * k for k in range(300))
