@@ -82,6 +82,8 @@ def spanning_links(run: np.ndarray, side: np.ndarray, linked: Callable) -> Itera
     """
     n = len(run)
     forest = Forest(n)
+    number = np.zeros(n, np.int64)
+    number[1:] = np.cumsum(run[1:] != run[:-1])
     crossed = np.zeros(n, bool)
     two = np.flatnonzero(side == 1)
     crossed[np.isin(run, run[two])] = True
@@ -99,6 +101,10 @@ def spanning_links(run: np.ndarray, side: np.ndarray, linked: Callable) -> Itera
             if new:
                 forest.flatten()
                 yield from new
+                # A run of one component is done.
+                roots = np.flatnonzero(forest.label == np.arange(n))
+                parts = np.bincount(number[roots], minlength=int(number[-1]) + 1)
+                left = left[parts[number[left]] > 1]
         step += 1
 
 

@@ -325,21 +325,26 @@ def line_verdicts(documents: DataFrame, percent: int = 80, shingle: int = SHINGL
     """
     found = stored(line_table(documents, shingle), "lines")
     owner = F.min(F.struct("doc_id", "version", "line")).alias("owner")
-    classes = found.groupBy("print").agg(owner, F.min("sketch").alias("sketch"), F.min("keys").alias("keys"))
+    size = F.count(F.lit(1)).alias("size")
+    classes = found.groupBy("print").agg(owner, size, F.min("sketch").alias("sketch"), F.min("keys").alias("keys"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "line-classes")
     near = stored(partnered(probes(classes), lambda table: near_sketches(table.column("sketch"))), "near-lines")
     asked = near.groupBy("node").agg(F.collect_list("key").alias("asked"))
-    wanted = classes.drop("keys").join(asked.hint("shuffle_hash"), "node").select("node", "sketch", F.col("asked").alias("keys"), "owner.*")
+    wanted = classes.select("node", "sketch", "owner").join(asked.hint("shuffle_hash"), "node").select("node", "sketch", F.col("asked").alias("keys"), "owner.*")
     texts = stored(texts_of(documents, wanted), "line-texts")
     met = texts.select(F.explode("keys").alias("key"), "node", "sketch", "text")
     links = linked_edges(met, lambda table: similar_lines(table, percent, shingle), "line-links")
     linked = components(links, "linked-lines")
-    firsts = classes.join(linked.hint("shuffle_hash"), "node").groupBy("root").agg(F.min("owner").alias("first"))
-    named = linked.join(firsts, "root").select("node", "first")
-    named = classes.join(named.hint("shuffle_hash"), "node", "left").select("print", F.coalesce("first", "owner").alias("first"))
+    # A line that is alone in its class and linked to nothing stays: only the other classes are joined.
+    others = classes.join(linked.hint("shuffle_hash"), "node", "left").where("size > 1 or root is not null")
+    others = stored(others.select("print", "owner", "root"), "line-members")
+    tied = others.where("root is not null")
+    firsts = tied.groupBy("root").agg(F.min("owner").alias("first"))
+    named = tied.join(firsts, "root").select("print", "first")
+    named = named.union(others.where("root is null").select("print", F.col("owner").alias("first")))
     here = F.struct("doc_id", "version", "line")
-    rows = found.select("doc_id", "version", "line", "print").join(named.hint("shuffle_hash"), "print")
-    return rows.select("doc_id", "version", "line", (here == F.col("first")).alias("first"))
+    rows = found.select("doc_id", "version", "line", "print").join(named.hint("shuffle_hash"), "print", "left")
+    return rows.select("doc_id", "version", "line", F.coalesce(here == F.col("first"), F.lit(True)).alias("first"))
 
 
 def cut_lines(rows: DataFrame) -> DataFrame:
@@ -371,9 +376,14 @@ def deduplicated(documents: DataFrame, percent: int = 80, shingle: int = SHINGLE
     repeat a doc_id and its text are one document and all keep the same lines. Columns named like
     the two added ones are replaced. An empty table gives no rows.
     """
+    return _with_row(documents, _lines_left(documents, percent, shingle), {"lines": "__lines", "removed": "__removed"})
+
+
+def _lines_left(documents: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """text (of the lines that stay), row (the other columns), lines and removed for each row."""
     gone = line_verdicts(documents, percent, shingle).where("not first")
-    gone = gone.groupBy("doc_id", "version").agg(F.collect_set("line").alias("gone"))
-    others = [c for c in documents.columns if c not in ("text", "__lines", "__removed")]
+    gone = stored(gone.groupBy("doc_id", "version").agg(F.collect_set("line").alias("gone")), "lines-gone")
+    others = [c for c in documents.columns if c != "text"]
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(F.col("text").cast("string")).alias("version"),
@@ -384,15 +394,17 @@ def deduplicated(documents: DataFrame, percent: int = 80, shingle: int = SHINGLE
 
     n_lines = F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(0))
     counted = rows.select("text", "row", "gone", n_lines.alias("lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("removed"))
-    return cut_lines(counted).select(
-        *[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in documents.columns if c not in ("__lines", "__removed")],
-        F.col("lines").alias("__lines"),
-        F.col("removed").alias("__removed"),
-    )
+    return cut_lines(counted)
+
+
+def _with_row(documents: DataFrame, left: DataFrame, more: dict[str, str]) -> DataFrame:
+    """The columns of documents with the new text, and more columns by their new names."""
+    own = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in documents.columns if c not in more.values()]
+    return left.select(*own, *[F.col(name).alias(new) for name, new in more.items()])
 
 
 def without_repeated_lines(documents: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
     """The documents with the lines that stay; one that had lines and has none left goes."""
-    rows = deduplicated(documents, percent, shingle)
-    emptied = (F.col("__removed") > 0) & ~F.col("text").rlike("[^ \\t-\\r]")
-    return rows.where(~F.coalesce(emptied, F.lit(False))).select(*documents.columns)
+    left = _lines_left(documents, percent, shingle)
+    emptied = (F.col("removed") > 0) & ~F.col("text").rlike("[^ \\t-\\r]")
+    return _with_row(documents, left.where(~F.coalesce(emptied, F.lit(False))), {})
