@@ -125,11 +125,10 @@ def vote(rule: Rule) -> Column:
 
 def figures(documents: DataFrame) -> DataFrame:
     """All columns of documents and `__q`, a struct of the text's counts."""
-    found = documents.drop("__q").withColumn("__t", text_figures(F.col("text").cast("string")))
-    flat = F.struct(
-        "__t.by_word.*", "__t.by_line.*", "__t.word_chars", "__t.n_symbols", "__t.n_upper", "__t.n_marks"
-    )
-    return found.withColumn("__q", flat).drop("__t")
+    others = [c for c in documents.columns if c != "__q"]
+    found = documents.select(F.struct(*others).alias("row"), text_figures(F.col("text").cast("string")).alias("t"))
+    flat = F.struct("t.by_word.*", "t.by_line.*", "t.word_chars", "t.n_symbols", "t.n_upper", "t.n_marks")
+    return found.select("row.*", flat.alias("__q"))
 
 
 def votes_of(rules: tuple[Rule, ...]) -> Column:
@@ -199,5 +198,12 @@ def rated(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def good_documents(documents: DataFrame) -> DataFrame:
-    """The documents that are kept, with all their columns."""
-    return rated(documents).where("__q.kept").select(*documents.columns)
+    """The documents that are kept, with all their columns, whatever their names.
+
+    Null, empty and very short texts go (see rated); a very long text is judged whole. Repeated rows are
+    judged alike and each stays or goes. An empty table gives no rows.
+    """
+    others = [c for c in documents.columns if c != "text"]
+    rows = documents.select(F.struct(F.lit(0).alias("text"), *others).alias("row"), "text")
+    kept = rated(rows).where("__q.kept")
+    return kept.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in documents.columns])

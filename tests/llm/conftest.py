@@ -4,7 +4,8 @@ import pytest
 
 from .brute import SMALL
 
-COLUMNS = "doc_id long, text string, lang string, n_words string, kept string, score string, batch string, __q string, __lines string"
+CLASHING = ["n_words", "kept", "score", "batch", "__q", "__lines", "__id", "__version", "__gone", "__drop", "__own", "__t", "row", "own", "t"]
+COLUMNS = "doc_id long, text string, lang string, " + ", ".join(f"{name} string" for name in CLASHING)
 
 
 @pytest.fixture
@@ -12,7 +13,7 @@ def table(spark):
     """A table of (doc_id, text) with further columns, some named like those of results."""
 
     def build(rows):
-        return spark.createDataFrame([(doc, text, "en", "a", "b", "c", "d", "e", "f") for doc, text in rows], COLUMNS)
+        return spark.createDataFrame([(doc, text, "en", *CLASHING) for doc, text in rows], COLUMNS)
 
     return build
 

@@ -54,3 +54,21 @@ def test_the_named_folder_is_used():
     assert shared_dir(session(None, "/c", "x")) == "/c"
     own = shared_dir(session(None, None, "x"))
     assert own == shared_dir(session(None, None, "x")) != shared_dir(session(None, None, "y"))
+
+
+def test_columns_of_any_name_keep_their_values(table, spark, tmp_path):
+    spark.createDataFrame([("q", prose(30, 500))], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(k, f"{prose(120, k)}.\n{prose(60, 100 + k)}.") for k in range(5)]
+    docs = table([*rows, rows[0]])
+    want = {tuple(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stored(stage(spark, docs, str(tmp_path)), "test-stage")
+        assert {tuple(r) for r in docs.collect()} == want, name
+
+
+def test_empty_table(table, spark, tmp_path):
+    spark.createDataFrame([("q", prose(30, 500))], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = table([])
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, str(tmp_path)), "test-stage")
+        assert docs.count() == 0, name

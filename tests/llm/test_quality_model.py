@@ -71,3 +71,22 @@ def test_votes_equal_brute_force():
 def test_bounded_fit(spark, small):
     model = fitted(small("documents"), small("labels"), most=20)
     assert 0 < len(model.labels) <= 40 and model.points.shape[1] == quality_model.LATENT
+
+
+def test_query_equals_brute_force(spark, small):
+    """Every score of the query, from its model's vectors and all labelled ones, pair by pair."""
+    import pyarrow as pa
+
+    model = fitted(small("documents"), small("labels"))
+    found = {r.doc_id: r.score for r in queries.op6_quality_model(spark, SMALL).collect()}
+    rows = small("documents").select("doc_id", "text").collect()
+    checked = 0
+    for r, point in zip(rows, model.latent(pa.array([r.text for r in rows], pa.string()))):
+        near = sorted(((float(point @ p), y) for p, y in zip(model.points, model.labels)), reverse=True)
+        k = quality_model.NEIGHBOURS
+        if len(near) > k and near[k - 1][0] - near[k][0] < 1e-5:
+            continue  # a tie at the last neighbour
+        weights = [max(c, 0) ** quality_model.SHARPNESS for c, _ in near[:k]]
+        assert abs(found[r.doc_id] - sum(w * y for w, (_, y) in zip(weights, near)) / sum(weights)) < 1e-3, r.doc_id
+        checked += 1
+    assert checked > len(rows) / 2
