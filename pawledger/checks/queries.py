@@ -24,7 +24,7 @@ from pawledger.operators import (
     trends,
     weekly,
 )
-from pawledger.plans import dashboard
+from pawledger.plans import cube, dashboard, export
 from pawledger.session import CHECKPOINT_DIR, ensure_checkpoint_dir
 from pawledger.sources import scans, sinks, tables, views
 
@@ -202,6 +202,33 @@ def kpi_headline(spark, d):
     return dashboard.kpi_headline(_dashboard(spark, d, dashboard.HEADLINE_METRICS))
 
 
+@_query
+def week_export(spark, d):
+    """All ten metrics from one reading of the weeks, which is stored added up."""
+    metrics = dashboard.weekly_dashboard(
+        A.visits(spark, d),
+        A.visit_clients(spark, d),
+        A.visit_patients(spark, d),
+        A.stocks(spark, d),
+        *WEEK,
+        phantom_patterns=PHANTOM_STOCK,
+        folder=_new_folder(spark, "week"),
+    )
+    return export.week_export(metrics)
+
+
+@_query
+def week_cube(spark, d):
+    """Lines, invoices, clients and sums of each part and day of the stored cube."""
+    stored = cube.write_cube(_fact(spark, d), _new_folder(spark, "week"), *WEEK)
+    return stored.groupBy("part", F.date_format(P.SERVICE_DATE, "yyyy-MM-dd").alias("day")).agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.countDistinct("invoice_id").alias("invoices"),
+        F.countDistinct("client_id").alias("clients"),
+        F.sum("total").cast("double").alias("total"),
+    )
+
+
 @_query
 def species_sales_with_total(spark, d):
     report = weekly.species_sales(_fact(spark, d), *WEEK)

@@ -14,6 +14,7 @@ from pawledger.functions import columns as C
 from pawledger.functions import periods as P
 from pawledger.functions import rules
 from pawledger.operators import inventory, weekly
+from pawledger.plans import cube
 from pawledger.sources import scans
 
 
@@ -54,12 +55,19 @@ def weekly_dashboard(
     phantom: str = rules.PHANTOM_CLIENT,
     hours: tuple[int, int] = rules.DAY_HOURS,
     stages: Mapping[str, rules.LifeStages] = rules.LIFE_STAGES,
+    folder: str | None = None,
+    known: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """The metrics of a week as lazy DataFrames over one filtered fact.
 
     ``only`` names the metrics to build, by default all of them. With
     ``persist`` the fact, a few weeks of seven columns, is kept between the
     metrics' actions; it is returned as ``_fact`` for ``unpersist``.
+
+    With ``folder`` the weeks are read once, now, and their added-up lines are
+    stored there (``cube.write_cube``); all metrics read those. The repeat
+    customers still ask the history before the week, but for ``known``, the ids
+    of clients known before it (``history.known_clients``).
     """
     fact = week_fact(invoices, ws, we, prior_weeks)
     if persist:
@@ -67,27 +75,34 @@ def weekly_dashboard(
     end = P.inclusive(ws, we).end
     new_ids = scans.new_clients(clients, ws, end, phantom)
     asked = scans.scan_invoices(invoices, ws, end).select("client_id")
-    known = scans.prior_clients(clients, invoices, ws, phantom, among=asked)
+    lines = {name: fact for name in cube.PART_OF}
+    if folder is not None:
+        parts = {cube.PART_OF[m] for m in cube.PART_OF if only is None or m in only}
+        stored = cube.write_cube(fact, folder, ws, we, prior_weeks, parts) if parts else None
+        lines = {m: cube.part(stored, p) for m, p in cube.PART_OF.items() if p in parts}
+        asked = lines.get("repeat_customers", asked).select("client_id")
+    if known is None:
+        known = scans.prior_clients(clients, invoices, ws, phantom, among=asked)
     births = scans.scan_patients(patients)
     stock = scans.scan_stocks(stocks, phantom_patterns)
     week = (ws, we)
     builders = {
-        "total_sales": lambda: weekly.total_sales(fact, *week, prior_weeks),
-        "repeat_customers": lambda: weekly.repeat_customers(fact, known, *week, phantom),
-        "species_sales": lambda: weekly.species_sales(fact, *week, prior_weeks),
-        "category_top": lambda: weekly.category_top_n(fact, *week, top_n, prior_weeks),
+        "total_sales": lambda: weekly.total_sales(lines["total_sales"], *week, prior_weeks),
+        "repeat_customers": lambda: weekly.repeat_customers(lines["repeat_customers"], known, *week, phantom),
+        "species_sales": lambda: weekly.species_sales(lines["species_sales"], *week, prior_weeks),
+        "category_top": lambda: weekly.category_top_n(lines["category_top"], *week, top_n, prior_weeks),
         "invoice_count_by_species": lambda: weekly.invoice_count_by_species(
-            fact, *week, prior_weeks
+            lines["invoice_count_by_species"], *week, prior_weeks
         ),
-        "day_night_split": lambda: weekly.day_night_split(fact, *week, prior_weeks, hours),
+        "day_night_split": lambda: weekly.day_night_split(lines["day_night_split"], *week, prior_weeks, hours),
         "new_vs_existing_customers": lambda: weekly.new_vs_existing_customers(
-            fact, new_ids, *week, phantom
+            lines["new_vs_existing_customers"], new_ids, *week, phantom
         ),
         "new_vs_existing_revenue": lambda: weekly.new_vs_existing_revenue(
-            fact, new_ids, *week, phantom
+            lines["new_vs_existing_revenue"], new_ids, *week, phantom
         ),
         "inventory_value": lambda: inventory.inventory_value(stock),
-        "life_stage_metrics": lambda: weekly.life_stage_metrics(fact, births, *week, stages),
+        "life_stage_metrics": lambda: weekly.life_stage_metrics(lines["life_stage_metrics"], births, *week, stages),
     }
     metrics = {name: builders[name]() for name in builders if only is None or name in only}
     if persist:
