@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .store import stored
+from .words import mix
 
 #: Rows of one run or group that are compared in one task; more are dealt out in pairs of blocks.
 BLOCK_ROWS = 512
@@ -218,16 +219,33 @@ def run_edges(table: pa.Table, links: Callable) -> list[tuple[int, int]]:
     return list(spanning_links(key, np.zeros(len(key), np.int8), links(table)))
 
 
+def linked_sets(nodes: np.ndarray, edges: list[tuple[int, int]]) -> pa.Table:
+    """key and node of the rows at the edges (row numbers): one key for each connected set of nodes,
+    the same wherever the same nodes are connected."""
+    forest = Forest(len(nodes))
+    for a, b in edges:
+        forest.join(a, b)
+    forest.flatten()
+    rows = np.unique(np.array(edges, np.int64).reshape(-1))
+    rows = rows[np.argsort(forest.label[rows], kind="stable")]
+    label, found = forest.label[rows], nodes[rows]
+    starts = np.flatnonzero(np.append(True, label[1:] != label[:-1])[: len(rows)])
+    sums = np.add.reduceat(mix(found.view(np.uint64)), starts) if len(rows) else found.view(np.uint64)
+    keys = np.repeat(mix(sums), np.diff(np.append(starts, len(rows))))
+    return pa.table({"key": keys.view(np.int64), "node": found})
+
+
 def partnered(keys: DataFrame, links: Callable, most: int = 4096) -> DataFrame:
-    """key and node of the rows that are linked to another row of equal key; rows of runs of more than
-    `most` rows are all taken as linked. `keys` has key (long), node (long) and what links asks for."""
+    """key and node of the rows that are linked to another row of equal key. The key is one of the nodes
+    linked to each other, so that nodes which meet under many keys share one afterwards; rows of runs
+    of more than `most` rows are all taken as linked and keep their key. `keys` has key (long), node
+    (long) and what links asks for."""
 
     def work(batches):
         for table, is_long in whole_runs(batches, ["key"], most):
             if not is_long:
                 table = repeated_rows(table)
-                ends = np.unique(np.array(run_edges(table, links), np.int64).reshape(-1))
-                table = table.take(pa.array(ends))
+                table = linked_sets(table.column("node").to_numpy(), run_edges(table, links))
             for batch in table.select(["key", "node"]).combine_chunks().to_batches():
                 yield batch
 

@@ -11,15 +11,17 @@ each of these keys. There near lines that are not connected yet are compared by
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .groups import components, linked_edges, partnered
 from .store import stored
-from .words import blocks, mix, stream, text_buffers
+from .words import LOWER, blocks, mix, stream, text_buffers
 
 SHINGLE = 10
 BANDS, BAND_ROWS = 10, 3
@@ -27,7 +29,7 @@ HASHES = BANDS * BAND_ROWS
 #: MinHashes of which two bits may differ in near sketches. At a similarity of 0.8, 4.5 of 30
 #: do on average and more than 13 about once in 20,000 pairs; of unrelated lines, 22.5 do.
 DISTANCE = 13
-LINE_BLOCK = 1 << 20
+LINE_BLOCK = 1 << 18
 #: Each hash function gives two MinHashes: the least value, and the greatest, which is the least of
 #: the reverse order.
 FUNCTIONS = HASHES // 2
@@ -42,60 +44,82 @@ PLACES = 1 << 12
 PLACE_CODES = (stream(24, PLACES) | np.uint64(1), stream(25, PLACES) | np.uint64(1))
 STEPS = stream(23, 8) | np.uint64(1)
 NEWLINE, SPACE = 0x0A, 0x20
+#: A-Z in lower case, and each blank of a line as a space.
+NORMAL = bytes(SPACE if b in b"\t\v\f\r" else int(LOWER[b]) for b in range(256))
+#: Codes of the characters up to 255.
+BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 def code_points(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The characters of UTF-8 bytes and the bounds of the texts in them. Bytes that are no UTF-8
-    count as one character each."""
-    lead = (data & 0xC0) != 0x80
-    before = np.concatenate(([0], np.cumsum(lead)))
+    """The characters of UTF-8 bytes and the bounds of the texts in them."""
+    text = data.tobytes().decode()
+    if len(text) == len(data):
+        return data, bounds
+    before = np.zeros(len(data) + 1, np.int32)
+    np.cumsum((data & 0xC0) != 0x80, out=before[1:])
     try:
-        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-    except UnicodeDecodeError:
-        return data.astype(np.uint32), bounds
-    return points, before[bounds]
+        points = np.frombuffer(text.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return points, before[bounds].astype(np.int64)
 
 
-def lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Normalised characters of all lines, the lines' n + 1 bounds in them, the row of each line and
+def line_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Normalised UTF-8 bytes of all lines, the lines' n + 1 bounds in them, the row of each line and
     its number in the row. A null text has no lines."""
     data, bounds = text_buffers(column)
-    points, bounds = code_points(data, bounds)
-    sizes = np.diff(bounds)
-    known = np.asarray(column.is_valid())
+    low, ends = data.tobytes().translate(NORMAL), bounds.tolist()
     # One newline after each text ends its last line.
-    size = len(points) + len(sizes)
-    last = bounds[1:] + np.arange(len(sizes))
-    own = np.ones(size, bool)
-    own[last] = False
-    text = np.full(size, NEWLINE, np.uint32)
-    text[own] = points
-    text += (text - np.uint32(0x41) < 26).astype(np.uint32) << np.uint32(5)
+    text = np.frombuffer(bytearray(b"".join([low[a:b] + b"\n" for a, b in zip(ends[:-1], ends[1:])])), np.uint8)
+    last = bounds[1:] + np.arange(len(bounds) - 1)
     breaks = np.flatnonzero(text == NEWLINE)
     line_start = np.concatenate(([0], breaks[:-1] + 1)) if len(breaks) else breaks
-    solid = (text != SPACE) & (text - np.uint32(0x09) > 4)
-    # The last blank of a run stays if something solid precedes it in the line and follows it.
-    seen = np.concatenate(([0], np.cumsum(solid, dtype=np.int32)))
-    inner = np.zeros(size, bool)
-    inner[:-1] = solid[1:]
-    inner &= ~solid & (text != NEWLINE)
-    at = np.flatnonzero(inner)
-    line = np.searchsorted(line_start, at, side="right") - 1
-    at = at[seen[at] > seen[line_start[line]]]
-    text[at] = SPACE
-    keep = solid
-    keep[at] = True
-    kept = np.concatenate(([0], np.cumsum(keep, dtype=np.int64)))
-    starts = np.append(kept[line_start], kept[-1])
+    # A blank goes if another blank or the line's end follows it, or if it begins the line.
+    blank = (text == SPACE) | (text == NEWLINE)
+    twice = blank[:-1] & blank[1:]
+    early = np.flatnonzero(twice)
+    ends_run = early[~np.append(twice, False)[early + 1]] + 1
+    begins_run = early[~np.append(False, twice)[early]]
+    leads = ends_run[(begins_run == 0) | (np.searchsorted(breaks, begins_run) < np.searchsorted(breaks, ends_run))]
+    single = text[line_start] == SPACE
+    text[early] = NEWLINE
+    text[leads] = NEWLINE
+    text[line_start[single]] = NEWLINE
+    gone = np.flatnonzero(text == NEWLINE)
+    starts = line_start - np.searchsorted(gone, line_start)
+    starts = np.append(starts, len(text) - len(gone))
     row = np.searchsorted(last, breaks)
-    first = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(sizes)))))[:-1]
+    first = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(last)))))[:-1]
     number = np.arange(len(breaks)) - first[row] if len(breaks) else breaks
-    valid = known[row] if len(breaks) else np.zeros(0, bool)
-    if not valid.all():
-        # A null text is one empty line here: it holds no characters, so bounds stay in order.
-        drop = np.flatnonzero(~valid)
+    if column.null_count:
+        # A null text is one empty line here: it holds no bytes, so bounds stay in order.
+        drop = np.flatnonzero(~np.asarray(column.is_valid())[row])
         starts, row, number = np.delete(starts, drop), np.delete(row, drop), np.delete(number, drop)
-    return text[keep], starts, row, number
+    return np.frombuffer(text.tobytes().translate(None, b"\n"), np.uint8), starts, row, number
+
+
+def characters(column: pa.Array, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of the lines of a column, and the lines' bounds in them. Where the texts are no
+    UTF-8, bytes count as one character each."""
+    try:
+        text_buffers(column)[0].tobytes().decode()
+    except UnicodeDecodeError:
+        return data, starts
+    return code_points(data, starts)
+
+
+def lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Normalised characters of all lines, the lines' n + 1 bounds in them, the row of each line and
+    its number in the row. A null text has no lines."""
+    data, starts, row, number = line_bytes(column)
+    return *characters(column, data, starts), row, number
+
+
+def digests(data: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """16 bytes for each line, by its bytes."""
+    raw = memoryview(data.tobytes())
+    ends = starts.tolist()
+    return [blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(ends[:-1], ends[1:])]
 
 
 def prints(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -116,6 +140,8 @@ def prints(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def char_codes(chars: np.ndarray) -> np.ndarray:
+    if chars.dtype == np.uint8:
+        return BYTE_CODES[chars]
     return mix(chars.astype(np.uint64) + np.uint64(1))
 
 
@@ -143,12 +169,14 @@ def shingles(code: np.ndarray, starts: np.ndarray, width: int = SHINGLE) -> tupl
     begins = np.ones(n, bool)
     for k in range(1, width):
         begins[starts[1:][sizes >= k] - k] = False
-    short = np.flatnonzero((sizes > 0) & (windows == 0))
+    short_line = (sizes > 0) & (windows == 0)
+    short = np.flatnonzero(short_line)
     if len(short):
         whole = np.ones(len(out), bool)
         whole[bounds[short]] = False
         out[whole] = total[begins[: len(total)]]
-        out[bounds[short]] = prints(code, starts)[short, 0]
+        whole = np.repeat(short_line, sizes)
+        out[bounds[short]] = prints(code[whole], np.concatenate(([0], np.cumsum(sizes[short]))))[:, 0]
     else:
         out[:] = total[begins[: len(total)]]
     return out, bounds
@@ -197,11 +225,11 @@ def line_table(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def work(batches):
         for batch in blocks(batches, most=LINE_BLOCK):
-            chars, starts, row, number = lines(batch.column(1))
-            code = char_codes(chars)
-            values, bounds = shingles(code, starts, shingle)
-            low = min_hashes(values, bounds)
+            data, starts, row, number = line_bytes(batch.column(1))
+            chars, places = characters(batch.column(1), data, starts)
+            low = min_hashes(*shingles(char_codes(chars), places, shingle))
             full = np.flatnonzero(np.diff(starts))
+            ends = np.append(starts[full], starts[-1])  # blank lines hold no bytes
             rows = pa.array(row[full])
             keys = (band_keys(low[full]) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(len(full), BANDS, 8)[:, :, :6]
             yield pa.RecordBatch.from_arrays(
@@ -209,7 +237,7 @@ def line_table(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     batch.column(0).take(rows),
                     batch.column(2).take(rows),
                     pa.array(number[full].astype(np.int32)),
-                    fixed(prints(code, starts)[full]),
+                    pa.array(digests(data, ends), pa.binary()),
                     pa.array(sketch(low[full]).view(np.int64)),
                     fixed(np.ascontiguousarray(keys.reshape(len(full), BANDS * 6))),
                 ],
@@ -273,21 +301,27 @@ def parities(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def line_sets(column: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The sorted distinct shingles of each line of a column."""
+    for batch in blocks([pa.RecordBatch.from_arrays([column], ["text"])], most=LINE_BLOCK):
+        chars, starts, _, _ = lines(batch.column(0))
+        values, bounds = shingles(char_codes(chars), starts, shingle)
+        ends = bounds.tolist()
+        for a, b in zip(ends[:-1], ends[1:]):
+            found = values[a:b]
+            found.sort()
+            yield found[np.concatenate(([True], found[1:] != found[:-1]))] if b > a else found
+
+
 def similar_lines(table: pa.Table, percent: int, shingle: int = SHINGLE) -> Callable:
     """Tells which pairs have 100 * intersection >= percent * union of their shingle sets.
 
     Pairs whose parities show that too many elements differ are not compared further.
     """
     near = near_sketches(table.column("sketch"))
-    chars, starts, _, _ = lines(table.column("text").combine_chunks())
-    values, bounds = shingles(char_codes(chars), starts, shingle)
-    sets = []
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        found = values[a:b]
-        found.sort()
-        sets.append(found[np.concatenate(([True], found[1:] != found[:-1]))] if b > a else found)
+    sets = [found for column in table.column("text").chunks for found in line_sets(column, shingle)]
     sizes = np.array([len(s) for s in sets], np.int64)
-    parity = parities(np.concatenate([*sets, values[:0]]), np.concatenate(([0], np.cumsum(sizes))))
+    parity = parities(np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate(([0], np.cumsum(sizes))))
 
     def linked(i, j):
         small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
@@ -329,7 +363,7 @@ def line_verdicts(documents: DataFrame, percent: int = 80, shingle: int = SHINGL
     classes = found.groupBy("print").agg(owner, size, F.min("sketch").alias("sketch"), F.min("keys").alias("keys"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "line-classes")
     near = stored(partnered(probes(classes), lambda table: near_sketches(table.column("sketch"))), "near-lines")
-    asked = near.groupBy("node").agg(F.collect_list("key").alias("asked"))
+    asked = near.groupBy("node").agg(F.collect_set("key").alias("asked"))
     wanted = classes.select("node", "sketch", "owner").join(asked.hint("shuffle_hash"), "node").select("node", "sketch", F.col("asked").alias("keys"), "owner.*")
     texts = stored(texts_of(documents, wanted), "line-texts")
     met = texts.select(F.explode("keys").alias("key"), "node", "sketch", "text")
@@ -348,23 +382,23 @@ def line_verdicts(documents: DataFrame, percent: int = 80, shingle: int = SHINGL
 
 
 def cut_lines(rows: DataFrame) -> DataFrame:
-    """The same columns; the texts without the lines numbered in `gone`."""
+    """text (without the lines numbered in `gone`), row, lines (of the whole text) and removed."""
 
     def work(batches):
         for batch in blocks(batches):
-            texts = batch.column("text")
-            lost = batch.column("gone")
-            if lost.null_count < len(lost):
-                whole, numbers = texts.to_pylist(), lost.to_pylist()
-                for k, drop in enumerate(numbers):
-                    if drop:
-                        drop = set(drop)
-                        whole[k] = "\n".join([line for i, line in enumerate(whole[k].split("\n")) if i not in drop])
-                texts = pa.array(whole, pa.string())
-            columns = [texts if name == "text" else batch.column(name) for name in batch.schema.names]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            texts, lost = batch.column("text"), batch.column("gone")
+            count = pc.fill_null(pc.add(pc.count_substring(texts, "\n"), 1), 0).cast(pa.int32())
+            removed = pc.fill_null(pc.list_value_length(lost), 0).cast(pa.int32())
+            cut = np.asarray(removed) > 0
+            if cut.any():
+                left = []
+                for k in np.flatnonzero(cut).tolist():
+                    drop = set(lost[k].as_py())
+                    left.append("\n".join([line for i, line in enumerate(texts[k].as_py().split("\n")) if i not in drop]))
+                texts = pc.replace_with_mask(texts, pa.array(cut), pa.array(left, texts.type))
+            yield pa.RecordBatch.from_arrays([texts, batch.column("row"), count, removed], ["text", "row", "lines", "removed"])
 
-    return rows.mapInArrow(work, rows.schema)
+    return rows.mapInArrow(work, rows.select("text", "row").schema.add("lines", "integer").add("removed", "integer"))
 
 
 def deduplicated(documents: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
@@ -391,10 +425,7 @@ def _lines_left(documents: DataFrame, percent: int, shingle: int) -> DataFrame:
         F.struct(*others).alias("row"),
     )
     rows = rows.join(gone.hint("shuffle_hash"), ["doc_id", "version"], "left").select("text", "row", "gone")
-
-    n_lines = F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(0))
-    counted = rows.select("text", "row", "gone", n_lines.alias("lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("removed"))
-    return cut_lines(counted)
+    return cut_lines(rows)
 
 
 def _with_row(documents: DataFrame, left: DataFrame, more: dict[str, str]) -> DataFrame:

@@ -128,3 +128,37 @@ def test_parities_never_differ_more_than_the_sets():
         both = near_lines.parities(np.concatenate((one, two)), np.array([0, len(one), len(one), len(one) + len(two)]))
         assert not both[1].any()
         assert 0 < np.bitwise_count(both[0] ^ both[2]).sum() <= len(np.setxor1d(one, two))
+
+
+def test_lines_that_meet_under_many_keys_are_compared_once(spark):
+    """Near lines share several bands; the pair is one set with one key, whatever they share."""
+    rows = []
+    for k in range(20):
+        line = prose(60, 100 + k)
+        rows += [(2 * k, line), (2 * k + 1, line + " end")]
+    lines = near_lines.line_table(spark.createDataFrame(rows, "doc_id long, text string"))
+    classes = lines.withColumn("node", F.col("doc_id"))
+    links = lambda rows: near_lines.near_sketches(rows.column("sketch"))
+    met = groups.partnered(near_lines.probes(classes), links)
+    found = {tuple(sorted(r.nodes)) for r in met.groupBy("key").agg(F.collect_set("node").alias("nodes")).collect()}
+    assert found == {(2 * k, 2 * k + 1) for k in range(20)}
+    assert met.distinct().count() == 40 < met.count()
+
+
+def test_sets_of_links():
+    nodes = np.array([7, 5, 9, 5, 7, 1], np.int64)
+    one = groups.linked_sets(nodes, [(0, 1), (2, 5)]).to_pydict()
+    two = groups.linked_sets(nodes, [(3, 4)]).to_pydict()
+    assert sorted(one["node"]) == [1, 5, 7, 9] and sorted(two["node"]) == [5, 7]
+    keys = dict(zip(one["node"], one["key"]))
+    assert keys[5] == keys[7] != keys[1] == keys[9] and set(two["key"]) == {keys[5]}
+    assert groups.linked_sets(nodes, []).num_rows == 0
+
+
+def test_lines_of_random_texts():
+    rng = random.Random(3)
+    for _ in range(300):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choices("aB \n\t\r\v\fé日Z\x1f", k=rng.randrange(25))) for _ in range(rng.randrange(6))]
+        chars, starts, row, number = lines(pa.array(texts, pa.string()))
+        got = [(int(r), int(k), "".join(map(chr, chars[a:b]))) for r, k, a, b in zip(row, number, starts[:-1], starts[1:])]
+        assert got == [(r, k, brute.normal(line)) for r, text in enumerate(texts) if text is not None for k, line in enumerate(text.split("\n"))]
